@@ -1,0 +1 @@
+"""No streaming operators: every job here is a batch job over tables."""
