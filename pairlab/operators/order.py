@@ -73,8 +73,11 @@ def running_by_value(
     group: Sequence[str] = (),
     descending: bool = False,
     buckets: int = VALUE_BUCKETS,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Running sums in the order of a numeric column that is distinct inside a group.
+    """Running sums in the order of a numeric column.
+
+    The column must be distinct inside a group, or ``ties`` must order its equals.
 
     Bucket bounds are approximate percentiles, a sketch of bounded size per group;
     the result is exact whatever the bounds are.
@@ -87,7 +90,7 @@ def running_by_value(
     placed = df.join(bounds, list(group)).withColumn(
         "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_x")))
     )
-    return _running(placed.drop("_bounds"), group, ["_x"], sums).select(*cols, *sums)
+    return _running(placed.drop("_bounds"), group, ["_x", *ties], sums).select(*cols, *sums)
 
 
 def take_first(df: DataFrame, order: str, n: Column, group: Sequence[str] = ()) -> DataFrame:

@@ -243,4 +243,4 @@ def ctes(*wanted: str, extra: str = "") -> str:
     body = [f"{n} as ({SQL[n][1]})" for n in done]
     if extra:
         body.append(extra)
-    return "with " + ", ".join(body) + " "
+    return "with recursive " + ", ".join(body) + " "
