@@ -93,10 +93,16 @@ def running_by_value(
     return _running(placed.drop("_bounds"), group, ["_x", *ties], sums).select(*cols, *sums)
 
 
-def take_first(df: DataFrame, order: str, n: Column, group: Sequence[str] = ()) -> DataFrame:
-    """The ``n`` rows of each group with the smallest ``order`` (distinct integers)."""
-    ranked = running_by_value(df, order, {"_pos": F.lit(1)}, group)
-    return ranked.filter(F.col("_pos") <= n).drop("_pos")
+def take_first(
+    df: DataFrame, order: Column, span: Column, n: Column, group: Sequence[str] = (), ties: Sequence[str] = ()
+) -> DataFrame:
+    """The ``n`` rows of each group with the smallest integer ``order`` in [0, ``span``)."""
+    group = _with_group(group)
+    cols = df.columns
+    bucket = F.floor(order * 1024 / F.greatest(span, F.lit(1)))
+    placed = _add_group(df, group).withColumns({"_ord": order, "_bucket": bucket, "_n": n})
+    ranked = _running(placed, group, ["_ord", *ties], {"_pos": F.lit(1)})
+    return ranked.filter(F.col("_pos") <= F.col("_n")).select(*cols)
 
 
 def _with_group(group: Sequence[str]) -> list[str]:

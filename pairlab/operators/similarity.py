@@ -172,8 +172,8 @@ def _grid(routed: DataFrame, placed: DataFrame, cells: Cells, n_rows: int, block
     if skips is not None:
         q = q.unionByName(skips.select("cell", "chunk", qb, *columns))
     wanted = routed.select(qb, F.explode("cells").alias("cell")).distinct()
-    c = placed.join(wanted, "cell").select(*at, "id", "v")
-    return q.groupBy(*at).cogroup(c.groupBy(*at))
+    c = placed.join(wanted, "cell").select(*[F.col(x).alias(f"c_{x}") for x in at], F.col("id").alias("c_id"), F.col("v").alias("c_v"))
+    return q.groupBy(*at).cogroup(c.groupBy(*[f"c_{x}" for x in at]))
 
 
 def _scores(qm: np.ndarray, cm: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
@@ -237,9 +237,9 @@ def rank_targets(
     def kernel(q: pa.Table, c: pa.Table) -> pa.Table:
         if q.num_rows == 0 or c.num_rows == 0:
             return pa.table({"query_id": q.column("query_id")[:0], "target_id": q.column("target_id")[:0], "beats": pa.array([], pa.int64())})
-        qm, cm = V.arrow_matrix(q.column("v")), V.arrow_matrix(c.column("v"))
+        qm, cm = V.arrow_matrix(q.column("v")), V.arrow_matrix(c.column("c_v"))
         t = _column(q, "score")
-        cid, qid, tid = _column(c, "id"), _column(q, "query_id"), _column(q, "target_id")
+        cid, qid, tid = _column(c, "c_id"), _column(q, "query_id"), _column(q, "target_id")
         s, reach = _scores(qm, cm, metric)
         i, j = np.nonzero(np.abs(s - t[:, None]) <= reach)
         s[i, j] = V.pair_score(qm[i], cm[j], metric)  # near the threshold only the exact score counts
@@ -294,10 +294,10 @@ def top_neighbors(
         is_query = np.asarray(q.column("skip").is_null())
         rows = np.flatnonzero(is_query)
         if len(rows) == 0 or c.num_rows == 0:
-            return pa.table({"query_id": q.column("query_id")[:0], "id": c.column("id")[:0], "score": pa.array([], pa.float64())})
+            return pa.table({"query_id": q.column("query_id")[:0], "id": c.column("c_id")[:0], "score": pa.array([], pa.float64())})
         qt = q.take(pa.array(rows))
-        qid, cid = _column(qt, "query_id"), _column(c, "id")
-        qm, cm = V.arrow_matrix(qt.column("v")), V.arrow_matrix(c.column("v"))
+        qid, cid = _column(qt, "query_id"), _column(c, "c_id")
+        qm, cm = V.arrow_matrix(qt.column("v")), V.arrow_matrix(c.column("c_v"))
         s, reach = _scores(qm, cm, metric)
         hidden = qid[:, None] == cid[None, :]
         if len(rows) < q.num_rows:
@@ -321,7 +321,7 @@ def top_neighbors(
         return pa.table(
             {
                 "query_id": qt.column("query_id").take(pa.array(i[keep])),
-                "id": c.column("id").take(pa.array(j[keep])),
+                "id": c.column("c_id").take(pa.array(j[keep])),
                 "score": pa.array(exact[keep], pa.float64()),
             }
         )
