@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,19 +98,14 @@ def trim_special_tokens(tokens: DataFrame, lengths: DataFrame | None = None) ->
 
 
 def pool_tokens(tokens: DataFrame, how: str = "mean") -> DataFrame:
-    """Mean or maximum over the tokens of an entity, in long form (id, dim, value).
+    """(id, v): element-wise mean or maximum over the tokens of an entity.
 
-    Partial sums are combined before the shuffle, so long entities stay cheap.
+    The summarizer keeps one partial vector per entity and map task, so long
+    entities neither shuffle their tokens nor meet in one task.
     """
-    agg = {"mean": F.avg, "max": F.max}[how]
-    long = tokens.select("id", F.posexplode("v").alias("dim", "x"))
-    return long.groupBy("id", "dim").agg(agg("x").alias("value"))
-
-
-def vectors_from_long(long: DataFrame) -> DataFrame:
-    """(id, dim, value) to (id, v): at most one entry per dimension is collected."""
-    packed = long.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("p"))
-    return packed.select("id", F.transform("p", lambda s: s["value"]).alias("v"))
+    agg = {"mean": Summarizer.mean, "max": Summarizer.max}[how]
+    pooled = tokens.groupBy("id").agg(agg(array_to_vector("v")).alias("_v"))
+    return pooled.select("id", vector_to_array("_v").alias("v"))
 
 
 def length_summary(tokens: DataFrame) -> DataFrame:

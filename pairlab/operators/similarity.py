@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,9 +30,21 @@ MAX_PIVOTS = 256  # bound of what is broadcast: MAX_PIVOTS vectors
 SLACK = 1e-6  # scores this close are recomputed exactly before they are compared
 
 
-def cosine_pairs(pairs: DataFrame, a: str, b: str, vectors: DataFrame, metric: str = "cosine", out: str = "score") -> DataFrame:
-    """Score of each listed pair: two joins on the id and an Arrow-batched kernel."""
-    left = vectors.select(F.col("id").alias(a), F.col("v").alias("_va"))
+def cosine_pairs(
+    pairs: DataFrame,
+    a: str,
+    b: str,
+    vectors: DataFrame,
+    metric: str = "cosine",
+    out: str = "score",
+    left_vectors: DataFrame | None = None,
+) -> DataFrame:
+    """Score of each listed pair: two joins on the id and an Arrow-batched kernel.
+
+    ``left_vectors`` (id, v) replaces the vectors of the first side.
+    """
+    first = vectors if left_vectors is None else left_vectors
+    left = first.select(F.col("id").alias(a), F.col("v").alias("_va"))
     right = vectors.select(F.col("id").alias(b), F.col("v").alias("_vb"))
     joined = pairs.join(left, a).join(right, b)
     return joined.select(*pairs.columns, V.pair_score_udf(metric)("_va", "_vb").alias(out))
@@ -52,6 +66,20 @@ def mean_pair_cosine(vectors: DataFrame) -> DataFrame:
     )
 
 
+def mean_cosine_per_entity(vectors: DataFrame) -> DataFrame:
+    """(id, n_pairs, mean_cosine) over all partners of an entity, in linear time.
+
+    The sum of cosines to everybody is the dot product with the sum of all unit
+    vectors (one number per dimension, sent with the plan); the entity's own term
+    is taken off.
+    """
+    norm = V.l2_norm("v")
+    unit = vectors.select("id", F.transform("v", lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))).alias("u"))
+    row = unit.agg(vector_to_array(Summarizer.sum(array_to_vector("u"))).alias("s"), F.count("*").alias("n")).first()
+    total, others = F.lit(list(row["s"])), F.lit(row["n"] - 1)
+    return unit.select("id", others.alias("n_pairs"), ((V.dot("u", total) - V.dot("u", "u")) / others).alias("mean_cosine"))
+
+
 # --- cells ---------------------------------------------------------------------
 
 
@@ -198,19 +226,23 @@ def rank_targets(
     metric: str = "cosine",
     block: int = BLOCK,
     pivots: int | None = None,
+    query_vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``score`` and ``rank`` of the target among all other entities.
 
-    ``queries`` has query_id and target_id (both with a vector). rank = 1 + better
+    ``queries`` has query_id and target_id (both with a vector); ``query_vectors``
+    (id, v) replaces the vectors the queries are scored with. rank = 1 + better
     candidates + equal candidates with a smaller id; the query itself never counts.
     No candidate is skipped: a cell is left out only when its bounds prove that all
     or none of its members beat the target.
     """
     vectors = vectors.select("id", "v")
     wanted = queries.select("query_id", "target_id").filter("query_id <> target_id").distinct()
-    scored = cosine_pairs(wanted, "query_id", "target_id", vectors, metric, "score")
+    scored = cosine_pairs(wanted, "query_id", "target_id", vectors, metric, "score", query_vectors)
     cells, placed = build_cells(vectors, metric, pivots, block)
     qv = placed.select(F.col("id").alias("query_id"), "v", F.col("cell").alias("home"))
+    if query_vectors is not None:
+        qv = qv.drop("v").join(query_vectors.select(F.col("id").alias("query_id"), "v"), "query_id")
     q = scored.join(qv, "query_id").withColumn("limit", F.col("score"))
 
     def decide(low, high, limit):

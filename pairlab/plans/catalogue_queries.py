@@ -509,7 +509,7 @@ _LONG = """select id, cast(dim - 1 as integer) as dim, round({agg}(x), 6) as val
 
 
 def _pooled(df):
-    return df.withColumn("value", F.round("value", 6))
+    return df.select("id", F.posexplode("v").alias("dim", "x")).select("id", "dim", F.round("x", 6).alias("value"))
 
 
 @query("mean_pool", ctes("tokens") + _LONG.format(agg="avg"))

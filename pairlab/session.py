@@ -39,3 +39,13 @@ def truncate_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; the caller writes it once."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def task_count(spark: SparkSession, per_slot: int = 1) -> int:
+    """Tasks for a stage whose work is far larger than its data.
+
+    Such a stage is repartitioned to a fixed number, since AQE would merge its
+    small partitions into a few slow tasks.
+    """
+    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return slots * per_slot
