@@ -130,21 +130,19 @@ def build_cells(candidates: DataFrame, metric: str, pivots: int | None, block: i
     A pivot is a candidate with a small id hash. To the driver come the pivots
     and three numbers per cell. Chunks split a hot cell.
     """
-    n = None
+    n = candidates.select("id").count()
+    if n == 0:
+        raise ValueError("no candidates")
     if pivots is None:
-        n = candidates.count()
         pivots = min(MAX_PIVOTS, max(1, n // CELL_TARGET))
-    chosen = candidates.orderBy(hash_key("pivot", F.col("id")), "id").limit(pivots).select("v").collect()
-    if not chosen:
-        raise ValueError("no candidates")
     cells = Cells(np.zeros((0, 0)), metric)
-    cells.pivots = cells.points(V.to_matrix([r["v"] for r in chosen]))
-    if len(chosen) == 1:
-        n = candidates.count() if n is None else n
+    if pivots == 1:
         cells.size, cells.near, cells.far = np.array([n]), np.array([0.0]), np.array([np.inf])
         cells.chunks = np.array([max(1, math.ceil(n / block))])
         chunk = F.pmod(F.xxhash64("id"), F.lit(int(cells.chunks[0]))).cast("int")
         return cells, candidates.select("id", "v", F.lit(0).alias("cell"), chunk.alias("chunk"))
+    chosen = candidates.orderBy(hash_key("pivot", F.col("id")), "id").limit(pivots).select("v").collect()
+    cells.pivots = cells.points(V.to_matrix([r["v"] for r in chosen]))
 
     @F.pandas_udf("struct<cell:int,dist:double>")
     def place(v):
@@ -260,7 +258,8 @@ def rank_targets(
         own = win[np.arange(len(v)), home.to_numpy()]
         return pd.Series((win * cells.size[None, :]).sum(1) - own)
 
-    routed = _routes(q, cells, decide)
+    one_cell = len(cells.size) == 1
+    routed = q.withColumn("cells", F.array(F.lit(0))) if one_cell else _routes(q, cells, decide)
     pair = ["query_id", "target_id"]
     grid = _grid(routed, placed, cells, wanted.count(), block, pair, [*pair, "score", "v"])
     id_type = placed.schema["id"].dataType
@@ -280,9 +279,8 @@ def rank_targets(
         return pa.table({"query_id": q.column("query_id"), "target_id": q.column("target_id"), "beats": pa.array(beats, pa.int64())})
 
     counted = grid.applyInArrow(kernel, schema_q)
-    base = q.select("query_id", "target_id", sure_wins("v", "limit", "home").alias("beats")) if len(cells.size) > 1 else None
-    if base is not None:
-        counted = counted.unionByName(base)
+    if not one_cell:
+        counted = counted.unionByName(q.select("query_id", "target_id", sure_wins("v", "limit", "home").alias("beats")))
     beats = counted.groupBy("query_id", "target_id").agg(F.sum("beats").alias("beats"))
     ranked = scored.join(beats, ["query_id", "target_id"], "left").select(
         "query_id", "target_id", "score", (F.coalesce("beats", F.lit(0)) + 1).alias("rank")
