@@ -55,9 +55,8 @@ def describe(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     if group:
         basic = df.groupBy(*group).agg(*stats)
         return basic.join(exact_quantiles(df, value, quart, group), list(group), "left")
-    keyed = df.withColumn("_g", F.lit(1))
-    basic = keyed.groupBy("_g").agg(*stats)
-    return basic.join(exact_quantiles(keyed, value, quart, ["_g"]), "_g", "left").drop("_g")
+    row = exact_quantiles(df, value, quart).select(F.struct(*quart).alias("q")).scalar()
+    return df.agg(*stats).withColumn("_q", row).select("n", "mean", "std", "min", "max", *[F.col("_q")[q].alias(q) for q in quart])
 
 
 def bucket_share(pairs: DataFrame, level: str = "evidence_level") -> DataFrame:

@@ -23,7 +23,7 @@ def _offsets(df: DataFrame, group: Sequence[str], sums: dict[str, Column]) -> Da
     """Sum of all earlier buckets, per group and bucket (bounded rows per group)."""
     keys = [*group, "_bucket"]
     per_bucket = df.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    w = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy(*(group or [F.lit(1)])).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     return per_bucket.select(*keys, *[F.coalesce(F.sum(f"_t_{n}").over(w), F.lit(0)).alias(f"_o_{n}") for n in sums])
 
 
@@ -37,33 +37,25 @@ def _running(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
     return out.select(*cols, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
 
 
-def number_by_hash(
-    df: DataFrame,
-    seed,
-    key_cols: Sequence[str],
-    group: Sequence[str] = (),
-    out: str = "idx",
+def running_by_hash(
+    df: DataFrame, seed, key_cols: Sequence[str], value: Column | str, out: str, group: Sequence[str] = ()
 ) -> DataFrame:
-    """1-based position in the order of ``md5(seed|keys)`` inside each group.
+    """Running sum of ``value`` in the order of ``md5(seed|keys)``, current row included.
 
     ``key_cols`` must be unique inside a group. Hash prefixes spread even a hot
     group over thousands of buckets.
     """
-    group = _with_group(group)
     hk = hash_key(seed, *[F.col(c) for c in key_cols])
-    keyed = _add_group(df, group).withColumn("_hk", hk).withColumn("_bucket", F.substring("_hk", 1, HASH_DIGITS))
-    numbered = _running(keyed, group, ["_hk", *key_cols], {out: F.lit(1)})
-    return numbered.select(*df.columns, out)
+    keyed = df.withColumn("_hk", hk).withColumn("_bucket", F.substring("_hk", 1, HASH_DIGITS))
+    total = F.col(value) if isinstance(value, str) else value
+    return _running(keyed, list(group), ["_hk", *key_cols], {out: total}).select(*df.columns, out)
 
 
-def running_by_hash(
-    df: DataFrame, seed, key_cols: Sequence[str], value: str, out: str, group: Sequence[str] = ()
+def number_by_hash(
+    df: DataFrame, seed, key_cols: Sequence[str], group: Sequence[str] = (), out: str = "idx"
 ) -> DataFrame:
-    """Running sum of ``value`` in hash order, current row included."""
-    group = _with_group(group)
-    hk = hash_key(seed, *[F.col(c) for c in key_cols])
-    keyed = _add_group(df, group).withColumn("_hk", hk).withColumn("_bucket", F.substring("_hk", 1, HASH_DIGITS))
-    return _running(keyed, group, ["_hk", *key_cols], {out: F.col(value)}).select(*df.columns, out)
+    """1-based position in hash order inside each group."""
+    return running_by_hash(df, seed, key_cols, F.lit(1), out, group)
 
 
 def running_by_value(
@@ -78,39 +70,31 @@ def running_by_value(
     """Running sums in the order of a numeric column.
 
     The column must be distinct inside a group, or ``ties`` must order its equals.
-
     Bucket bounds are approximate percentiles, a sketch of bounded size per group;
-    the result is exact whatever the bounds are.
+    the result is exact whatever the bounds are. Without a group the bounds (a few
+    dozen numbers) pass through the driver.
     """
     cols = df.columns
-    group = _with_group(group)
-    df = _add_group(df, group).withColumn("_x", -F.col(order).cast("double") if descending else F.col(order).cast("double"))
+    x = F.col(order).cast("double")
+    df = df.withColumn("_x", -x if descending else x)
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*group).agg(F.percentile_approx("_x", probs, 1000).alias("_bounds"))
-    placed = df.join(bounds, list(group)).withColumn(
-        "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_x")))
-    )
-    return _running(placed.drop("_bounds"), group, ["_x", *ties], sums).select(*cols, *sums)
+    sketch = F.percentile_approx("_x", probs, 1000).alias("_bounds")
+    if group:
+        placed = df.join(df.groupBy(*group).agg(sketch), list(group))
+    else:
+        placed = df.withColumn("_bounds", F.lit(df.agg(sketch).first()["_bounds"] or []).cast("array<double>"))
+    placed = placed.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_x")))).drop("_bounds")
+    return _running(placed, list(group), ["_x", *ties], sums).select(*cols, *sums)
 
 
 def take_first(
     df: DataFrame, order: Column, span: Column, n: Column, group: Sequence[str] = (), ties: Sequence[str] = ()
 ) -> DataFrame:
     """The ``n`` rows of each group with the smallest integer ``order`` in [0, ``span``)."""
-    group = _with_group(group)
-    cols = df.columns
     bucket = F.floor(order * 1024 / F.greatest(span, F.lit(1)))
-    placed = _add_group(df, group).withColumns({"_ord": order, "_bucket": bucket, "_n": n})
-    ranked = _running(placed, group, ["_ord", *ties], {"_pos": F.lit(1)})
-    return ranked.filter(F.col("_pos") <= F.col("_n")).select(*cols)
-
-
-def _with_group(group: Sequence[str]) -> list[str]:
-    return list(group) or ["_all"]
-
-
-def _add_group(df: DataFrame, group: Sequence[str]) -> DataFrame:
-    return df.withColumn("_all", F.lit(1)) if list(group) == ["_all"] else df
+    placed = df.withColumns({"_ord": order, "_bucket": bucket, "_n": n})
+    ranked = _running(placed, list(group), ["_ord", *ties], {"_pos": F.lit(1)})
+    return ranked.filter(F.col("_pos") <= F.col("_n")).select(*df.columns)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], group: Sequence[str] = ()) -> DataFrame:
@@ -119,12 +103,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], group: S
     Counts per distinct value are pre-aggregated, then located by running counts,
     so a group of any size never has to fit into one task.
     """
-    keys = _with_group(group)
-    src = _add_group(df, keys).filter(F.col(value).isNotNull())
-    counts = src.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    keys = list(group)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     cum = running_by_value(counts, "_v", {"_cum": F.col("_n")}, keys)
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    joined = cum.join(totals, keys)
+    if keys:
+        joined = cum.join(counts.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys)
+    else:
+        joined = cum.withColumn("_total", counts.agg(F.sum("_n")).scalar())
     aggs = []
     for name, p in probs.items():
         h = (F.col("_total") - 1) * F.lit(float(p))

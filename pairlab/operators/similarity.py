@@ -197,8 +197,14 @@ def _grid(routed: DataFrame, placed: DataFrame, cells: Cells, n_rows: int, block
     q = q.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.get(n_chunks, F.col("cell")) - 1))).select(*at, *columns)
     if skips is not None:
         q = q.unionByName(skips.select("cell", "chunk", qb, *columns))
-    wanted = routed.select(qb, F.explode("cells").alias("cell")).distinct()
-    c = placed.join(wanted, "cell").select(*[F.col(x).alias(f"c_{x}") for x in at], F.col("id").alias("c_id"), F.col("v").alias("c_v"))
+    if len(cells.size) == 1:
+        c = placed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    else:
+        # the join key is the chunk, of bounded size, so a hot cell is no hot key
+        wanted = routed.select(qb, F.explode("cells").alias("cell")).distinct()
+        wanted = wanted.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.get(n_chunks, F.col("cell")) - 1).cast("array<int>")))
+        c = placed.join(wanted, ["cell", "chunk"])
+    c = c.select(*[F.col(x).alias(f"c_{x}") for x in at], F.col("id").alias("c_id"), F.col("v").alias("c_v"))
     return q.groupBy(*at).cogroup(c.groupBy(*[f"c_{x}" for x in at]))
 
 
