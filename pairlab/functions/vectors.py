@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,21 +38,25 @@ def is_unit(norm: Column, atol: float = 1e-3) -> Column:
     return F.abs(norm - 1.0) <= atol
 
 
-def to_matrix(values) -> np.ndarray:
-    """Stack a batch of equal-length vectors (pandas column) as float64 rows."""
-    if len(values) == 0:
-        return np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in values])
+# A vector column is ``array<double>``, or ``struct<i:array<int>,x:array<double>>``
+# for sparse vectors; functions that read the latter take its ``width``.
+SPARSE = "struct<i:array<int>,x:array<double>>"
+BATCH_NUMBERS = 4_000_000  # numbers of a dense matrix held at once by the pair scorer
 
 
-def arrow_matrix(column) -> np.ndarray:
-    """Arrow list column to a float64 matrix without touching single rows."""
-    arr = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+def arrow_matrix(column, width: int | None = None) -> np.ndarray:
+    """Arrow vector column (no NULLs) to a float64 matrix without touching single rows."""
+    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(arr)
     if n == 0:
-        return np.zeros((0, 0))
-    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(n, -1)
+        return np.zeros((0, width or 0))
+    if width is None:
+        return arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, -1)
+    at, x = pc.struct_field(arr, [0]), pc.struct_field(arr, [1])
+    rows = np.repeat(np.arange(n), pc.list_value_length(at).to_numpy(zero_copy_only=False))
+    m = np.zeros((n, width))
+    m[rows, at.flatten().to_numpy(zero_copy_only=False)] = x.flatten().to_numpy(zero_copy_only=False)
+    return m
 
 
 def unit_rows(m: np.ndarray) -> np.ndarray:
@@ -74,13 +79,18 @@ def pair_score(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.round(s, 12)
 
 
-def pair_score_udf(metric: str):
+def pair_score_udf(metric: str, width: int | None = None):
     """Arrow-batched scorer of two vector columns."""
 
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        if len(a) == 0:
-            return pd.Series([], dtype="float64")
-        return pd.Series(pair_score(to_matrix(a), to_matrix(b), metric))
+    @F.arrow_udf("double")
+    def score(a: pa.Array, b: pa.Array) -> pa.Array:
+        out, start = np.zeros(len(a)), 0
+        step = max(1, BATCH_NUMBERS // width) if width else max(1, len(a))
+        while start < len(a):
+            part = slice(start, start + step)
+            x, y = arrow_matrix(a[part], width), arrow_matrix(b[part], width)
+            out[part] = pair_score(x, y, metric)
+            start += step
+        return pa.array(out, pa.float64())
 
     return score

@@ -61,61 +61,56 @@ def same_family_flag(family_1: Column | str, family_2: Column | str) -> Column:
 # --- k-mers --------------------------------------------------------------------
 
 
-def kmer_profile(sequences: DataFrame, k: int = KMER, seq: str = "seq") -> DataFrame:
-    """(id, kmer, freq): share of each word among the counted words of the whole text.
-
-    Only words of the 20 standard letters count. A look-ahead pattern yields all
-    overlapping words in one scan of the text; counts are combined before the
-    shuffle. An entity without such a word has no row (its similarity is 0).
-    """
-    words = F.regexp_extract_all(seq, F.lit(f"(?=([{STANDARD_RESIDUES}]{{{k}}}))"), F.lit(1))
-    listed = sequences.select("id", words.alias("w")).select("id", F.size("w").alias("total"), F.explode("w").alias("kmer"))
-    return listed.groupBy("id", "kmer").agg((F.count("*") / F.min("total")).alias("freq"))
-
-
-def kmer_cosine(pairs: DataFrame, a: str, b: str, profile: DataFrame, out: str = "kmer_cosine") -> DataFrame:
-    """Cosine of the listed pairs' profiles; 0 without a common word.
-
-    A pair reads at most one row per word of its first entity, and the second
-    join is on (entity, word), so frequent words do not pile up on one key.
-    """
-    norms = profile.groupBy("id").agg(F.sqrt(F.sum(F.col("freq") * F.col("freq"))).alias("norm"))
-    wanted = pairs.select(a, b).distinct()
-    left = profile.select(F.col("id").alias(a), "kmer", F.col("freq").alias("fa"))
-    right = profile.select(F.col("id").alias(b), "kmer", F.col("freq").alias("fb"))
-    dots = wanted.join(left, a).join(right, [b, "kmer"]).groupBy(a, b).agg(F.sum(F.col("fa") * F.col("fb")).alias("_dot"))
-    na = norms.select(F.col("id").alias(a), F.col("norm").alias("_na"))
-    nb = norms.select(F.col("id").alias(b), F.col("norm").alias("_nb"))
-    cos = dots.join(na, a).join(nb, b).select(a, b, (F.col("_dot") / (F.col("_na") * F.col("_nb"))).alias("_cos"))
-    return pairs.join(cos, [a, b], "left").select(*pairs.columns, F.coalesce("_cos", F.lit(0.0)).alias(out))
+KMER_WIDTH = len(STANDARD_RESIDUES) ** KMER
 
 
-def kmer_vectors(sequences: DataFrame, profile: DataFrame, k: int = KMER) -> DataFrame:
-    """(id, v): dense profiles for the block scorer, at most 20^k entries per entity.
+def kmer_vectors(sequences: DataFrame, seq: str = "seq") -> DataFrame:
+    """(id, v): sparse word frequencies of each whole text, words numbered in letter order.
 
-    Entities without words get the zero vector.
+    Only words of the 20 standard letters count. A text is one row, so its words
+    are counted inside the row: nothing is exploded and nothing is shuffled. An
+    entity without such a word gets an empty vector (its similarity is 0).
     """
-    width = len(STANDARD_RESIDUES) ** k
-    packed = profile.groupBy("id").agg(F.collect_list("kmer").alias("words"), F.collect_list("freq").alias("freqs"))
-    at = {c: i for i, c in enumerate(STANDARD_RESIDUES)}
-
-    @F.pandas_udf("array<double>")
-    def dense(words, freqs):
-        import pandas as pd
-
-        out = []
-        for ws, fs in zip(words, freqs):
-            v = np.zeros(width)
-            if ws is not None:
-                for w, f in zip(ws, fs):
-                    n = 0
-                    for ch in w:
-                        n = n * len(at) + at[ch]
-                    v[n] = f
-            out.append(v)
-        return pd.Series(out, dtype=object)
-
-    return sequences.select("id").join(packed, "id", "left").select("id", dense("words", "freqs").alias("v"))
+    code = np.full(256, -1, dtype=np.int64)
+    code[np.frombuffer(STANDARD_RESIDUES.encode(), dtype=np.uint8)] = np.arange(len(STANDARD_RESIDUES))
+
+    @F.arrow_udf(V.SPARSE)
+    def count(texts: pa.Array) -> pa.Array:
+        at, x, ends = [], [], [0]
+        for t in texts.to_pylist():
+            c = code[np.frombuffer((t or "").encode("ascii", "replace"), dtype=np.uint8)]
+            word, known = np.zeros(max(len(c) - KMER + 1, 0), dtype=np.int64), np.ones(max(len(c) - KMER + 1, 0), dtype=bool)
+            for i in range(KMER):
+                part = c[i : i + len(word)]
+                word, known = word * len(STANDARD_RESIDUES) + part, known & (part >= 0)
+            n = np.bincount(word[known], minlength=KMER_WIDTH)
+            hit = np.flatnonzero(n)
+            at.append(hit)
+            x.append(n[hit] / max(n.sum(), 1))
+            ends.append(ends[-1] + len(hit))
+        offsets = pa.array(ends, pa.int32())
+        lists = [
+            pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(v) if v else [], kind))
+            for v, kind in ((at, pa.int32()), (x, pa.float64()))
+        ]
+        return pa.StructArray.from_arrays(lists, ["i", "x"])
+
+    return sequences.select("id", count(seq).alias("v"))
+
+
+def kmer_profile(sequences: DataFrame, seq: str = "seq") -> DataFrame:
+    """(id, kmer, freq): share of each word among the counted words of the text."""
+    letters, n = F.lit(STANDARD_RESIDUES), len(STANDARD_RESIDUES)
+    long = kmer_vectors(sequences, seq).select("id", F.explode(F.arrays_zip("v.i", "v.x")).alias("w"))
+    number = F.col("w.i")
+    spelled = [F.substring(letters, (F.floor(number / n**k) % n + 1).cast("int"), F.lit(1)) for k in range(KMER - 1, -1, -1)]
+    return long.select("id", F.concat(*spelled).alias("kmer"), F.col("w.x").alias("freq"))
+
+
+def kmer_cosine(pairs: DataFrame, a: str, b: str, profiles: DataFrame, out: str = "kmer_cosine") -> DataFrame:
+    """Cosine of the listed pairs' profiles (from ``kmer_vectors``); 0 without a common word."""
+    scored = cosine_pairs(pairs.select(a, b).distinct(), a, b, profiles, out="_cos", width=KMER_WIDTH)
+    return pairs.join(scored, [a, b], "left").select(*pairs.columns, F.coalesce("_cos", F.lit(0.0)).alias(out))
 
 
 # --- token-level similarity ----------------------------------------------------

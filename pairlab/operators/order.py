@@ -83,7 +83,10 @@ def running_by_value(
         placed = df.join(df.groupBy(*group).agg(sketch), list(group))
     else:
         placed = df.withColumn("_bounds", F.lit(df.agg(sketch).first()["_bounds"] or []).cast("array<double>"))
-    placed = placed.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_x")))).drop("_bounds")
+    # spelled out, so that the comparison stays inside generated code
+    below = sum((F.coalesce(F.get("_bounds", F.lit(i)) < F.col("_x"), F.lit(False)).cast("int") for i in range(1, len(probs))),
+                F.coalesce(F.get("_bounds", F.lit(0)) < F.col("_x"), F.lit(False)).cast("int"))
+    placed = placed.withColumn("_bucket", below).drop("_bounds")
     return _running(placed, list(group), ["_x", *ties], sums).select(*cols, *sums)
 
 

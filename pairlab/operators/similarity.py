@@ -38,16 +38,18 @@ def cosine_pairs(
     metric: str = "cosine",
     out: str = "score",
     left_vectors: DataFrame | None = None,
+    width: int | None = None,
 ) -> DataFrame:
     """Score of each listed pair: two joins on the id and an Arrow-batched kernel.
 
-    ``left_vectors`` (id, v) replaces the vectors of the first side.
+    ``left_vectors`` (id, v) replaces the vectors of the first side; ``width`` is
+    the dimension of sparse vectors.
     """
     first = vectors if left_vectors is None else left_vectors
     left = first.select(F.col("id").alias(a), F.col("v").alias("_va"))
     right = vectors.select(F.col("id").alias(b), F.col("v").alias("_vb"))
     joined = pairs.join(left, a).join(right, b)
-    return joined.select(*pairs.columns, V.pair_score_udf(metric)("_va", "_vb").alias(out))
+    return joined.select(*pairs.columns, V.pair_score_udf(metric, width)("_va", "_vb").alias(out))
 
 
 def mean_pair_cosine(vectors: DataFrame) -> DataFrame:
@@ -124,7 +126,9 @@ class Cells:
         return low, high
 
 
-def build_cells(candidates: DataFrame, metric: str, pivots: int | None, block: int) -> tuple[Cells, DataFrame]:
+def build_cells(
+    candidates: DataFrame, metric: str, pivots: int | None, block: int, width: int | None = None
+) -> tuple[Cells, DataFrame]:
     """Cells and the candidates placed in them: (id, v, cell, chunk).
 
     A pivot is a candidate with a small id hash. To the driver come the pivots
@@ -141,23 +145,19 @@ def build_cells(candidates: DataFrame, metric: str, pivots: int | None, block: i
         cells.chunks = np.array([max(1, math.ceil(n / block))])
         chunk = F.pmod(F.xxhash64("id"), F.lit(int(cells.chunks[0]))).cast("int")
         return cells, candidates.select("id", "v", F.lit(0).alias("cell"), chunk.alias("chunk"))
-    chosen = candidates.orderBy(hash_key("pivot", F.col("id")), "id").limit(pivots).select("v").collect()
-    cells.pivots = cells.points(V.to_matrix([r["v"] for r in chosen]))
+    chosen = candidates.orderBy(hash_key("pivot", F.col("id")), "id").limit(pivots).select("v").toArrow()
+    cells.pivots = cells.points(V.arrow_matrix(chosen.column("v"), width))
 
-    @F.pandas_udf("struct<cell:int,dist:double>")
-    def place(v):
-        import pandas as pd
-
-        if len(v) == 0:
-            return pd.DataFrame({"cell": pd.Series([], dtype="int32"), "dist": pd.Series([], dtype="float64")})
-        d = cells.distances(V.to_matrix(v))
+    @F.arrow_udf("struct<cell:int,dist:double>")
+    def place(v: pa.Array) -> pa.Array:
+        d = cells.distances(V.arrow_matrix(v, width)) if len(v) else np.zeros((0, pivots))
         c = d.argmin(1)
-        return pd.DataFrame({"cell": c.astype("int32"), "dist": d[np.arange(len(d)), c]})
+        return pa.StructArray.from_arrays([pa.array(c, pa.int32()), pa.array(d[np.arange(len(d)), c], pa.float64())], ["cell", "dist"])
 
     placed = candidates.select("id", "v", place("v").alias("_p")).select("id", "v", F.col("_p.cell").alias("cell"), F.col("_p.dist").alias("_d"))
     placed = truncate_lineage(placed)  # placed once, read by several stages
     stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("_d").alias("near"), F.max("_d").alias("far")).collect()
-    k = len(chosen)
+    k = chosen.num_rows
     cells.size, cells.near, cells.far = np.zeros(k, dtype=np.int64), np.zeros(k), np.zeros(k)
     for r in stats:
         cells.size[r["cell"]], cells.near[r["cell"]], cells.far[r["cell"]] = r["n"], r["near"], r["far"]
@@ -167,18 +167,17 @@ def build_cells(candidates: DataFrame, metric: str, pivots: int | None, block: i
     return cells, placed.select("id", "v", "cell", chunk.alias("chunk"))
 
 
-def _routes(queries: DataFrame, cells: Cells, decide) -> DataFrame:
+def _routes(queries: DataFrame, cells: Cells, decide, width: int | None) -> DataFrame:
     """Add ``cells``: the cell numbers a query has to visit (``decide`` picks them)."""
 
-    @F.pandas_udf("array<int>")
-    def route(v, limit):
-        import pandas as pd
-
+    @F.arrow_udf("array<int>")
+    def route(v: pa.Array, limit: pa.Array) -> pa.Array:
         if len(v) == 0:
-            return pd.Series([], dtype=object)
-        low, high = cells.bounds(V.to_matrix(v))
-        visit = decide(low, high, limit.to_numpy(dtype=np.float64)) & (cells.size > 0)[None, :]
-        return pd.Series([np.flatnonzero(r).astype("int32") for r in visit])
+            return pa.array([], pa.list_(pa.int32()))
+        low, high = cells.bounds(V.arrow_matrix(v, width))
+        visit = decide(low, high, limit.to_numpy(zero_copy_only=False).astype(np.float64)) & (cells.size > 0)[None, :]
+        ends = np.concatenate([[0], visit.sum(1).cumsum()])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(visit)[1], pa.int32()))
 
     return queries.withColumn("cells", route("v", "limit"))
 
@@ -231,6 +230,7 @@ def rank_targets(
     block: int = BLOCK,
     pivots: int | None = None,
     query_vectors: DataFrame | None = None,
+    width: int | None = None,
 ) -> DataFrame:
     """Add ``score`` and ``rank`` of the target among all other entities.
 
@@ -242,8 +242,8 @@ def rank_targets(
     """
     vectors = vectors.select("id", "v")
     wanted = queries.select("query_id", "target_id").filter("query_id <> target_id").distinct()
-    scored = cosine_pairs(wanted, "query_id", "target_id", vectors, metric, "score", query_vectors)
-    cells, placed = build_cells(vectors, metric, pivots, block)
+    scored = cosine_pairs(wanted, "query_id", "target_id", vectors, metric, "score", query_vectors, width)
+    cells, placed = build_cells(vectors, metric, pivots, block, width)
     qv = placed.select(F.col("id").alias("query_id"), "v", F.col("cell").alias("home"))
     if query_vectors is not None:
         qv = qv.drop("v").join(query_vectors.select(F.col("id").alias("query_id"), "v"), "query_id")
@@ -253,19 +253,17 @@ def rank_targets(
         t = cells.threshold(limit)[:, None]
         return (low <= t) & (high >= t)  # some members may beat the target, some may not
 
-    @F.pandas_udf("long")
-    def sure_wins(v, limit, home):
-        import pandas as pd
-
+    @F.arrow_udf("long")
+    def sure_wins(v: pa.Array, limit: pa.Array, home: pa.Array) -> pa.Array:
         if len(v) == 0:
-            return pd.Series([], dtype="int64")
-        _, high = cells.bounds(V.to_matrix(v))
-        win = high < cells.threshold(limit.to_numpy(dtype=np.float64))[:, None]
-        own = win[np.arange(len(v)), home.to_numpy()]
-        return pd.Series((win * cells.size[None, :]).sum(1) - own)
+            return pa.array([], pa.int64())
+        _, high = cells.bounds(V.arrow_matrix(v, width))
+        win = high < cells.threshold(limit.to_numpy(zero_copy_only=False))[:, None]
+        own = win[np.arange(len(v)), home.to_numpy(zero_copy_only=False)]
+        return pa.array((win * cells.size[None, :]).sum(1) - own, pa.int64())
 
     one_cell = len(cells.size) == 1
-    routed = q.withColumn("cells", F.array(F.lit(0))) if one_cell else _routes(q, cells, decide)
+    routed = q.withColumn("cells", F.array(F.lit(0))) if one_cell else _routes(q, cells, decide, width)
     pair = ["query_id", "target_id"]
     grid = _grid(routed, placed, cells, wanted.count(), block, pair, [*pair, "score", "v"])
     id_type = placed.schema["id"].dataType
@@ -274,7 +272,7 @@ def rank_targets(
     def kernel(q: pa.Table, c: pa.Table) -> pa.Table:
         if q.num_rows == 0 or c.num_rows == 0:
             return pa.table({"query_id": q.column("query_id")[:0], "target_id": q.column("target_id")[:0], "beats": pa.array([], pa.int64())})
-        qm, cm = V.arrow_matrix(q.column("v")), V.arrow_matrix(c.column("c_v"))
+        qm, cm = V.arrow_matrix(q.column("v"), width), V.arrow_matrix(c.column("c_v"), width)
         t = _column(q, "score")
         cid, qid, tid = _column(c, "c_id"), _column(q, "query_id"), _column(q, "target_id")
         s, reach = _scores(qm, cm, metric)
@@ -305,6 +303,7 @@ def top_neighbors(
     exclude: DataFrame | None = None,
     block: int = BLOCK,
     pivots: int | None = None,
+    width: int | None = None,
 ) -> DataFrame:
     """(query_id, id, score, rank): the k nearest candidates of each query, self excluded.
 
@@ -312,7 +311,7 @@ def top_neighbors(
     number per query; the list is sent to the blocks that hold the candidates.
     """
     vectors = vectors.select("id", "v")
-    cells, placed = build_cells(vectors, metric, pivots, block)
+    cells, placed = build_cells(vectors, metric, pivots, block, width)
     ids = queries.select("query_id").distinct()
     q = ids.join(vectors.select(F.col("id").alias("query_id"), "v"), "query_id")
     n_q = ids.count()
@@ -324,7 +323,7 @@ def top_neighbors(
     if exclude is not None:
         where = placed.select("id", "cell", "chunk")
         hidden = exclude.select("query_id", "id").join(ids, "query_id", "left_semi").join(where, "id")
-        skips = hidden.withColumn("v", F.lit(None).cast("array<double>")).withColumn("skip", F.col("id"))
+        skips = hidden.withColumn("v", F.lit(None).cast(placed.schema["v"].dataType)).withColumn("skip", F.col("id"))
 
     def kernel(q: pa.Table, c: pa.Table) -> pa.Table:
         is_query = np.asarray(q.column("skip").is_null())
@@ -333,7 +332,7 @@ def top_neighbors(
             return pa.table({"query_id": q.column("query_id")[:0], "id": c.column("c_id")[:0], "score": pa.array([], pa.float64())})
         qt = q.take(pa.array(rows))
         qid, cid = _column(qt, "query_id"), _column(c, "c_id")
-        qm, cm = V.arrow_matrix(qt.column("v")), V.arrow_matrix(c.column("c_v"))
+        qm, cm = V.arrow_matrix(qt.column("v"), width), V.arrow_matrix(c.column("c_v"), width)
         s, reach = _scores(qm, cm, metric)
         hidden = qid[:, None] == cid[None, :]
         if len(rows) < q.num_rows:
@@ -382,7 +381,7 @@ def top_neighbors(
             t = np.where(np.isnan(lim), np.inf, cells.threshold(np.where(np.isnan(lim), 0.0, lim)))
             return low <= t[:, None]
 
-        rest = _routes(with_limit, cells, decide).withColumn("cells", F.array_except("cells", "home"))
+        rest = _routes(with_limit, cells, decide, width).withColumn("cells", F.array_except("cells", "home"))
         found = first.unionByName(search(rest.filter(F.size("cells") > 0).select("query_id", "v", "cells")))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

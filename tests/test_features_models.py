@@ -100,19 +100,32 @@ def test_kmers_skip_other_letters_and_overlap(spark):
     got = {(r.id, r.kmer): r.freq for r in H.kmer_profile(s).collect()}
     assert got == {(1, "AAA"): 2 / 3, (1, "AAC"): 1 / 3}
     pairs = spark.createDataFrame([(1, 2), (1, 1)], "a long, b long")
-    cos = {(r.a, r.b): r.kmer_cosine for r in H.kmer_cosine(pairs, "a", "b", H.kmer_profile(s)).collect()}
+    cos = {(r.a, r.b): r.kmer_cosine for r in H.kmer_cosine(pairs, "a", "b", H.kmer_vectors(s)).collect()}
     assert cos[(1, 2)] == 0.0 and abs(cos[(1, 1)] - 1) < 1e-12
 
 
-def test_dense_profiles_agree_with_sparse_ones(spark):
+def test_profile_cosine_against_counting(spark):
     rng = random.Random(1)
-    seqs = [(i, "".join(rng.choice("ACDEFG") for _ in range(80))) for i in range(12)]
-    s = spark.createDataFrame(seqs, "id long, seq string")
-    profile = H.kmer_profile(s)
-    pairs = spark.createDataFrame([(i, i + 1) for i in range(11)], "a long, b long")
-    sparse = {(r.a, r.b): r.kmer_cosine for r in H.kmer_cosine(pairs, "a", "b", profile).collect()}
-    dense = {(r.a, r.b): r.score for r in S.cosine_pairs(pairs, "a", "b", H.kmer_vectors(s, profile)).collect()}
-    assert all(abs(sparse[k] - dense[k]) < 1e-9 for k in sparse) and len(sparse) == 11
+    seqs = {i: "".join(rng.choice("ACDEFGB") for _ in range(80)) for i in range(12)}
+    s = spark.createDataFrame(list(seqs.items()), "id long, seq string")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(11)] + [(0, 99)], "a long, b long")
+    got = {(r.a, r.b): r.kmer_cosine for r in H.kmer_cosine(pairs, "a", "b", H.kmer_vectors(s)).collect()}
+
+    def words(t):
+        out = {}
+        for i in range(len(t) - 2):
+            if "B" not in t[i : i + 3]:
+                out[t[i : i + 3]] = out.get(t[i : i + 3], 0) + 1
+        return out
+
+    for a in range(11):
+        x, y = words(seqs[a]), words(seqs[a + 1])
+        want = sum(x[w] * y.get(w, 0) for w in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        assert abs(got[(a, a + 1)] - want) < 1e-9
+    assert got[(0, 99)] == 0.0
+    near = S.top_neighbors(spark.createDataFrame([(3,)], "query_id long"), H.kmer_vectors(s), 11, width=H.KMER_WIDTH, pivots=3)
+    best = {r.id: r.score for r in near.collect()}
+    assert len(best) == 11 and abs(best[4] - got[(3, 4)]) < 1e-9
 
 
 def test_token_similarity_with_fewer_cells_than_k(spark):
