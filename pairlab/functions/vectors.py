@@ -79,6 +79,23 @@ def pair_score(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.round(s, 12)
 
 
+def sparse_cosine(a: pa.Array, b: pa.Array, width: int) -> np.ndarray:
+    """Row-aligned cosine of sparse vectors: look up the second side's entries in the first."""
+    n = len(a)
+    sides = []
+    for side in (a, b):
+        at, x = pc.struct_field(side, [0]), pc.struct_field(side, [1])
+        rows = np.repeat(np.arange(n), pc.list_value_length(at).to_numpy(zero_copy_only=False))
+        x = x.flatten().to_numpy(zero_copy_only=False)
+        sides.append((rows, at.flatten().to_numpy(zero_copy_only=False), x, np.sqrt(np.bincount(rows, x * x, n))))
+    (ra, ia, xa, na), (rb, ib, xb, nb) = sides
+    dense = np.zeros((n, width))
+    dense[ra, ia] = xa
+    dot = np.bincount(rb, dense[rb, ib] * xb, n)
+    norm = na * nb
+    return np.round(np.where(norm > 0, dot / np.where(norm > 0, norm, 1.0), 0.0), 12)
+
+
 def pair_score_udf(metric: str, width: int | None = None):
     """Arrow-batched scorer of two vector columns."""
 
@@ -88,8 +105,10 @@ def pair_score_udf(metric: str, width: int | None = None):
         step = max(1, BATCH_NUMBERS // width) if width else max(1, len(a))
         while start < len(a):
             part = slice(start, start + step)
-            x, y = arrow_matrix(a[part], width), arrow_matrix(b[part], width)
-            out[part] = pair_score(x, y, metric)
+            if width and metric == "cosine":
+                out[part] = sparse_cosine(a[part], b[part], width)
+            else:
+                out[part] = pair_score(arrow_matrix(a[part], width), arrow_matrix(b[part], width), metric)
             start += step
         return pa.array(out, pa.float64())
 

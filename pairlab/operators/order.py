@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pairlab.functions.hashing import hash_key
 
 HASH_DIGITS = 3  # 4,096 hash buckets
-VALUE_BUCKETS = 64
+VALUE_BUCKETS = 256  # a power of two
 
 
 def _offsets(df: DataFrame, group: Sequence[str], sums: dict[str, Column]) -> DataFrame:
@@ -70,23 +70,25 @@ def running_by_value(
     """Running sums in the order of a numeric column.
 
     The column must be distinct inside a group, or ``ties`` must order its equals.
-    Bucket bounds are approximate percentiles, a sketch of bounded size per group;
-    the result is exact whatever the bounds are. Without a group the bounds (a few
-    dozen numbers) pass through the driver.
+    Bucket bounds are approximate percentiles of the whole column, ``buckets``
+    numbers that pass through the driver: no bucket holds much more than that share
+    of all rows, whatever the groups are. The result is exact for any bounds. The
+    bounds are a job of their own, so materialise an expensive input first.
     """
     cols = df.columns
     x = F.col(order).cast("double")
     df = df.withColumn("_x", -x if descending else x)
-    probs = [i / buckets for i in range(1, buckets)]
-    sketch = F.percentile_approx("_x", probs, 1000).alias("_bounds")
-    if group:
-        placed = df.join(df.groupBy(*group).agg(sketch), list(group))
-    else:
-        placed = df.withColumn("_bounds", F.lit(df.agg(sketch).first()["_bounds"] or []).cast("array<double>"))
-    # spelled out, so that the comparison stays inside generated code
-    below = sum((F.coalesce(F.get("_bounds", F.lit(i)) < F.col("_x"), F.lit(False)).cast("int") for i in range(1, len(probs))),
-                F.coalesce(F.get("_bounds", F.lit(0)) < F.col("_x"), F.lit(False)).cast("int"))
-    placed = placed.withColumn("_bucket", below).drop("_bounds")
+    sketch = F.percentile_approx("_x", [i / buckets for i in range(1, buckets)], 10 * buckets)
+    bounds = df.agg(sketch.alias("b")).first()["b"] or []
+    placed = df.withColumn("_bounds", F.lit(bounds).cast("array<double>"))
+    # number of bounds below x by bisection: eight comparisons inside generated code
+    placed = placed.withColumn("_bucket", F.lit(0))
+    step = buckets // 2
+    while step:
+        hit = F.coalesce(F.get("_bounds", F.col("_bucket") + step - 1) < F.col("_x"), F.lit(False))
+        placed = placed.withColumn("_bucket", F.col("_bucket") + F.when(hit, step).otherwise(0))
+        step //= 2
+    placed = placed.drop("_bounds")
     return _running(placed, list(group), ["_x", *ties], sums).select(*cols, *sums)
 
 

@@ -16,6 +16,7 @@ from pairlab.plans.registry import query
 from pairlab.plans.retrieval import evaluate
 from pairlab.plans.retrieval_queries import METRIC_COLS, r6
 from pairlab.plans.sampling_queries import NUM_SQL, TRIPLET_SQL, _directed
+from pairlab.session import truncate_lineage
 from pairlab.sources import fixtures as X
 from pairlab.sources import readers
 from pairlab.sources.fixtures import ctes
@@ -97,7 +98,7 @@ def kmer_cosine(spark, sf):
     seqs = X.sequences(spark, sf)
     pairs = seqs.select(F.col("id").alias("id_1"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 5)).alias("id_2"))
     pairs = pairs.join(seqs.select(F.col("id").alias("id_2")), "id_2", "left_semi")
-    out = H.kmer_cosine(pairs, "id_1", "id_2", H.kmer_vectors(seqs))
+    out = H.kmer_cosine(pairs, "id_1", "id_2", truncate_lineage(H.kmer_vectors(seqs)))
     return r6(out.select("id_1", "id_2", "kmer_cosine"), "kmer_cosine")
 
 
@@ -109,7 +110,7 @@ def kmer_cosine(spark, sf):
 )
 def kmer_neighbors(spark, sf):
     """Nearest texts by k-mer profile among all texts (ties differ only in the neighbour's id)."""
-    v = H.kmer_vectors(X.sequences(spark, sf)).filter(F.size("v.i") > 0)
+    v = truncate_lineage(H.kmer_vectors(X.sequences(spark, sf)).filter(F.size("v.i") > 0))
     top = S.top_neighbors(v.select(F.col("id").alias("query_id")), v, 3, block=512, width=H.KMER_WIDTH)
     return top.select("query_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 5).alias("score"))
 

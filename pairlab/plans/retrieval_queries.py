@@ -13,7 +13,7 @@ from pairlab.operators import similarity as S
 from pairlab.operators import split as L
 from pairlab.plans.registry import query
 from pairlab.plans.retrieval import evaluate, ranked_queries, weighted
-from pairlab.session import scratch_path
+from pairlab.session import scratch_path, truncate_lineage
 from pairlab.sources import fixtures as X
 from pairlab.sources import readers, writers
 from pairlab.sources.fixtures import ctes
@@ -354,7 +354,7 @@ def minmax_average(spark, sf):
         + 1.0 / (60 + row_number() over (partition by pair_id, direction, query_id order by weighted desc, id)), 6) as score from near""",
 )
 def rrf(spark, sf):
-    scores, _ = _near(spark, sf)
+    scores = truncate_lineage(_near(spark, sf)[0])  # read once per method and bounds
     return r6(K.rrf(scores, ["cosine", "weighted"], GROUP).select(*GROUP, "id", "score"), "score")
 
 
@@ -373,7 +373,8 @@ def best_method(spark, sf):
 
 def _two_runs(spark, sf):
     gold, v = X.gold(spark, sf), X.vectors(spark, sf)
-    return ranked_queries(gold, v), ranked_queries(gold, weighted(v), "euclidean")
+    # a ranked run is read by several report steps: written once, then only read
+    return tuple(truncate_lineage(ranked_queries(gold, *a)) for a in ((v,), (weighted(v), "euclidean")))
 
 
 def _run_metrics(spark, sf):
