@@ -14,9 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlab.functions.hashing import hash_key
+from pairlab.session import task_count
 
 HASH_DIGITS = 3  # 4,096 hash buckets
-VALUE_BUCKETS = 256  # a power of two
+MAX_VALUE_BUCKETS = 1024
 
 
 def _offsets(df: DataFrame, group: Sequence[str], sums: dict[str, Column]) -> DataFrame:
@@ -64,7 +65,7 @@ def running_by_value(
     sums: dict[str, Column],
     group: Sequence[str] = (),
     descending: bool = False,
-    buckets: int = VALUE_BUCKETS,
+    buckets: int | None = None,
     ties: Sequence[str] = (),
 ) -> DataFrame:
     """Running sums in the order of a numeric column.
@@ -74,14 +75,17 @@ def running_by_value(
     numbers that pass through the driver: no bucket holds much more than that share
     of all rows, whatever the groups are. The result is exact for any bounds. The
     bounds are a job of their own, so materialise an expensive input first.
+    ``buckets`` must be a power of two.
     """
     cols = df.columns
+    if buckets is None:  # a power of two, about twice the tasks of a shuffle
+        buckets = min(MAX_VALUE_BUCKETS, max(16, 1 << (2 * task_count(df.sparkSession) - 1).bit_length()))
     x = F.col(order).cast("double")
     df = df.withColumn("_x", -x if descending else x)
     sketch = F.percentile_approx("_x", [i / buckets for i in range(1, buckets)], 10 * buckets)
     bounds = df.agg(sketch.alias("b")).first()["b"] or []
     placed = df.withColumn("_bounds", F.lit(bounds).cast("array<double>"))
-    # number of bounds below x by bisection: eight comparisons inside generated code
+    # number of bounds below x by bisection, inside generated code
     placed = placed.withColumn("_bucket", F.lit(0))
     step = buckets // 2
     while step:

