@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20  # text handled at once by a numpy kernel
@@ -104,6 +104,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix(value ^ mix((ends - starts).astype(np.uint64)))
 
 
-def shared_rows(df: DataFrame, *columns: Column | str) -> DataFrame:
-    """Pick columns by position-safe names."""
-    return df.select(*[F.col(c) if isinstance(c, str) else c for c in columns])
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The table without the columns that an operator is about to add."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])

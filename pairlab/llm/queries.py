@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import sharding, warc
+from pairlab.llm import contamination, langid, pieces, sharding, warc
 from pairlab.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,61 @@ def op2_warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Dictionaries from the documents whose remainder is not 1, predictions for all."""
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"))
+    dictionaries = langid.learn(docs.filter("not held_out and doc_id is not null"))
+    return langid.identify(docs.select("doc_id", "text", "held_out"), dictionaries).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query(
+    sql=r"""
+with w as (
+  select item_id::varchar as item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from benchmark where text is not null),
+v as (select item, words, least(10, len(words)) as size, unnest(range(1, len(words) - least(10, len(words)) + 2)) as k from w where len(words) > 0),
+win as (select distinct item, size, array_to_string(words[k:k + size - 1], ' ') as win from v),
+sizes as (select distinct size from win),
+d as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::varchar[]) as words
+  from documents),
+p as (select doc_id, words, size, unnest(range(1, len(words) - size + 2)) as k from d, sizes),
+h as (select doc_id, k, p.size, item from p join win on win.size = p.size and win.win = array_to_string(words[k:k + p.size - 1], ' ')),
+hit as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(k, k + size)) as x from h) group by 1),
+own as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from h group by 1)
+select d.doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join own using (doc_id)"""
+)
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents against all benchmark items."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = contamination.contaminated(docs, table(spark, folder, "benchmark"))
+    n_hit = contamination.words_hit(F.col("hit_spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("hit_items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("hit_spans") > 0).alias("contaminated"),
+    )
+
+
+@query
+def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents to piece ids and back."""
+    ids = pieces.encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return pieces.decode(ids).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 @query(
     sql="""
 with recursive tab as (
