@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import contamination, langid, pieces, sharding, warc
+from pairlab.llm import contamination, langid, pieces, quality, quotes, sharding, warc
 from pairlab.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,63 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _em_sql() -> str:
+    """Votes and expectation-maximisation over the metrics table ``m`` in DuckDB."""
+    rules = list(quality.RULES.items())
+    votes = ",\n".join(f"case when {bad} then -1 when {good} then 1 else 0 end as v{k}" for k, (_, (good, bad)) in enumerate(rules))
+    names = ", ".join(f"v{k}" for k in range(len(rules)))
+    odds = " + ".join(
+        ["ln(s.pi / (1 - s.pi))"]
+        + [f"case v{k} when 1 then ln(s.a[{k + 1}] / (1 - s.b[{k + 1}])) when -1 then ln((1 - s.a[{k + 1}]) / s.b[{k + 1}]) else 0 end" for k in range(len(rules))]
+    )
+    prior = [f"{quality.PRIOR_ROWS} * {x}" for x in quality.PRIOR_RIGHT]
+    a = ", ".join(f"greatest({quality.LEAST_RIGHT}, (coalesce(sum(n * g) filter (v{k} = 1), 0) + {prior[0]}) / (coalesce(sum(n * g) filter (v{k} <> 0), 0) + {quality.PRIOR_ROWS}))" for k in range(len(rules)))
+    b = ", ".join(f"(coalesce(sum(n * (1 - g)) filter (v{k} = -1), 0) + {prior[1]}) / (coalesce(sum(n * (1 - g)) filter (v{k} <> 0), 0) + {quality.PRIOR_ROWS})" for k in range(len(rules)))
+    start = [", ".join([f"{x}::double"] * len(rules)) for x in quality.PRIOR_RIGHT]
+    return f"""
+votes as (select *, {votes} from m),
+pat as (select {names}, count(*)::double as n from votes group by all),
+em as (
+  select 0 as step, {quality.PRIOR_GOOD}::double as pi, [{start[0]}] as a, [{start[1]}] as b
+  union all
+  select step + 1, (sum(n * g) + {quality.PRIOR_ROWS} * {quality.PRIOR_GOOD}) / (sum(n) + {quality.PRIOR_ROWS}), [{a}], [{b}]
+  from (select s.step, pat.*, 1 / (1 + exp(-({odds}))) as g from em s, pat where s.step < {quality.ROUNDS}) group by step),
+q as (select votes.*, 1 / (1 + exp(-({odds}))) as quality from votes, (select * from em where step = {quality.ROUNDS}) s)"""
+
+
+@query(
+    sql=rf"""
+with recursive d as (
+  select doc_id, coalesce(text, '') as text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::varchar[]) as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from documents),
+win as (select doc_id, k, array_to_string(w[k:k + 7], ' ') as x from (select doc_id, w, unnest(range(1, len(w) - 6)) as k from d)),
+rep as (select doc_id, count(distinct j) as n from (
+  select doc_id, unnest(range(k, k + 8)) as j from (select doc_id, k, count(*) over (partition by doc_id, x) as c from win) where c > 1) group by 1),
+m as (
+  select d.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols,
+         length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g'))::bigint as n_upper,
+         len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+         coalesce(rep.n, 0)::bigint as n_repeat_words, len(list_distinct(w))::bigint as n_distinct_words
+  from d left join rep using (doc_id)),
+{_em_sql()}
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+       not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and quality >= {quality.GOOD_FROM} as kept,
+       round(quality, 4) as quality
+from q"""
+)
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Posterior quality of all documents; the base check comes first."""
+    judged = quality.judge(table(spark, folder, "documents").select("doc_id", "text"))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), F.round("quality", 4).alias("quality"),
+    )
+
+
 @query(
     sql="""
 with p as (select page_id, coalesce(html, '') as h from pages),
@@ -51,6 +108,41 @@ def op2_warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    sql=r"""
+with recursive l0 as (
+  select conv_id, turn, role, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as i from conversations),
+l1 as (select conv_id, turn, role, i, length(regexp_replace(regexp_extract(x, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) as level,
+              trim(regexp_replace(x, '^(?:[ \t]*>)+', ''), ' ' || chr(9) || chr(13)) as says from l0),
+l2 as (select * replace (case when level = 0 and regexp_matches(says, '^On .{1,300} wrote:$') and lead(level) over m > 0 then '' else says end as says)
+       from l1 window m as (partition by conv_id, turn order by i)),
+l3 as (select *, case when says <> '' and coalesce(lag(level) over m <> level or lag(says) over m = '', true) then 1 else 0 end as opens
+       from l2 window m as (partition by conv_id, turn order by i)),
+l4 as (select *, sum(opens) over (partition by conv_id, turn order by i) as k from l3),
+p as (select conv_id, turn, k, min_by(level, i) as level, trim(regexp_replace(lower(string_agg(says, ' ' order by i)), '[^\p{L}\p{N}]+', ' ', 'g')) as says
+      from l4 where k > 0 group by all),
+b as (select conv_id, turn, any_value(role) as role, trim(coalesce(string_agg(says, chr(10) order by i) filter (level = 0), ''), chr(10)) as body from l2 group by 1, 2),
+own as (select conv_id, turn, says from p where level = 0
+        union select conv_id, turn, trim(regexp_replace(lower(unnest(string_split(body, chr(10)))), '[^\p{L}\p{N}]+', ' ', 'g')) from b
+        union select conv_id, turn, trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')) from b),
+f as (select conv_id, says, min(turn) as origin from own where says <> '' group by 1, 2),
+links as (select p.conv_id, p.turn, min_by(origin, p.level * 1000000000 + k) as parent_turn, count(*) as n_linked
+          from p join f on f.conv_id = p.conv_id and f.says = p.says where p.level > 0 and origin < p.turn group by 1, 2),
+up as (select conv_id, turn, parent_turn as root_turn, 1::bigint as depth from links
+       union all select up.conv_id, up.turn, parent_turn, depth + 1 from up join links on links.conv_id = up.conv_id and links.turn = up.root_turn),
+top as (select conv_id, turn, min_by(root_turn, -depth) as root_turn, max(depth) as depth from up group by 1, 2),
+n as (select conv_id, turn, count(*) as n_quotes from p where level > 0 and says <> '' group by 1, 2)
+select b.conv_id, b.turn, b.role, body, parent_turn, coalesce(top.root_turn, b.turn) as root_turn, coalesce(depth, 0) as depth,
+       coalesce(n_quotes, 0) as n_quotes, coalesce(n_linked, 0) as n_linked
+from b left join links using (conv_id, turn) left join top using (conv_id, turn) left join n using (conv_id, turn)"""
+)
+def op3_quotation_links(spark: SparkSession, folder: str) -> DataFrame:
+    """All messages with their reply links and their text without quotes."""
+    return quotes.thread(table(spark, folder, "conversations")).select(
+        "conv_id", "turn", "role", "body", "parent_turn", "root_turn", "depth", "n_quotes", "n_linked"
+    )
+
+
 @query
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Dictionaries from the documents whose remainder is not 1, predictions for all."""
