@@ -62,13 +62,17 @@ class Powers:
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
+    @staticmethod
+    def _powers(r: int, n: int) -> np.ndarray:
+        x = np.full(n, r, np.uint64)
+        x[0] = 1
+        return np.cumprod(x, dtype=np.uint64)
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             n = max(n, 2 * len(self.up))
             with np.errstate(over="ignore"):
-                self.up, self.down = (
-                    np.cumprod(np.concatenate([[1], np.full(n - 1, r, np.uint64)]).astype(np.uint64)) for r in (R, R_INVERSE)
-                )
+                self.up, self.down = (self._powers(r, n) for r in (R, R_INVERSE))
         return self.up, self.down
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import contamination, langid, pieces, quality, quotes, sharding, warc
+from pairlab.llm import brown, contamination, langid, pieces, quality, quotes, sharding, warc
 from pairlab.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,6 +198,18 @@ def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op7_class_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from the documents whose remainder is not 2, scores all."""
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"))
+    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    model = brown.fit(docs.filter("not held_out"))
+    return brown.score(docs, model, "_row").select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score"
+    )
+
+
 @query(
     sql="""
 with recursive tab as (
