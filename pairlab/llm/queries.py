@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import brown, contamination, langid, pieces, quality, quotes, sharding, warc
+from pairlab.llm import brown, contamination, langid, nearjoin, pieces, quality, quotes, sharding, warc
 from pairlab.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,6 +210,12 @@ def op7_class_language_model(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all documents at a similarity of 0.75."""
+    return nearjoin.near_components(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 @query(
     sql="""
 with recursive tab as (

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import types as T
 
+from pairlab.session import truncate_lineage
+
 TEXTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
 
 
@@ -12,7 +14,7 @@ def docs(spark):
         rows = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
         langs = langs or ["en"] * len(rows)
         data = [(i, t, k, "s", None if t is None else len(t)) for (i, t), k in zip(rows, langs, strict=True)]
-        return spark.createDataFrame(data, TEXTS).repartition(partitions)
+        return truncate_lineage(spark.createDataFrame(data, TEXTS).repartition(partitions))
 
     return make
 
