@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import brown, contamination, langid, nearjoin, pieces, quality, quotes, sharding, warc
+from pairlab.llm import brown, contamination, langid, nearjoin, pieces, quality, quotes, sharding, substrings, warc
 from pairlab.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,6 +211,19 @@ def op7_class_language_model(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of all documents under 200-byte strings that occur again."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"))
+    return substrings.remove_repeats(docs).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        F.size("removed_spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all documents at a similarity of 0.75."""
@@ -243,3 +257,9 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.balanced_shards(docs, "size", ["doc_id", "text_crc32", "size"], 24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query(sql=corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus pipeline over the whole table."""
+    return corpus_pipeline.run(spark, folder)
