@@ -10,6 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+DRAW_DIGITS = 15  # hex digits: more positions than any pool has rows
+DRAW_SPAN = 1 << 60
+
+
 def _text(parts) -> Column:
     return F.concat_ws("|", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
 
@@ -20,8 +24,8 @@ def hash_key(*parts) -> Column:
 
 
 def hash_draw(*parts) -> Column:
-    """32-bit integer draw of ``a|b|c``."""
-    return F.conv(F.substring(hash_key(*parts), 1, 8), 16, 10).cast("bigint")
+    """60-bit integer draw of ``a|b|c``."""
+    return F.conv(F.substring(hash_key(*parts), 1, DRAW_DIGITS), 16, 10).cast("bigint")
 
 
 def draw_index(size: Column, *parts) -> Column:

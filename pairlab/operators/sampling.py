@@ -2,8 +2,9 @@
 
 A draw is a hash of (seed, tag, group, draw number, slot), turned into a position
 in a numbered pool and joined to it. No driver loop, no shared generator: the
-sample depends on its inputs only. Enough draws are made for the wanted count,
-duplicates and known pairs are removed, and the first ``n`` draws are kept.
+sample depends on its inputs only. Rounds of draws are made until the wanted count
+is reached, duplicates and known pairs are removed, and the first ``n`` draws are
+kept. Groups that ask for a large share of their valid pairs list all pairs instead.
 
 Common contract: never a known positive in either order, both ends from the pool
 of the group, no duplicates unless stated.
@@ -13,13 +14,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.functions.hashing import draw_index, hash_key
+from pairlab.functions.hashing import DRAW_SPAN, draw_index, hash_draw, hash_key
 from pairlab.operators.order import number_by_hash, running_by_value, take_first
 from pairlab.operators.similarity import cosine_pairs, top_neighbors
+from pairlab.session import truncate_lineage
 
 NEGATIVES_PER_POSITIVE = 10  # fixed value: ratio of the training jobs
 DATASET_RATIO = 5.0  # fixed value: ratio of the dataset builder
@@ -29,31 +32,25 @@ BROADCAST_ROWS = 100_000  # look-up tables of (group, family) rows up to here ar
 
 
 def draws_needed(pool: int, n: int, known: int) -> int:
-    """Draws that give ``n`` distinct unknown pairs of a pool with near certainty.
-
-    Bounded by an attempt budget of 50 n + 2000.
-    """
+    """Draws that give ``n`` distinct unknown pairs of a pool with near certainty; more rounds follow if not."""
     pairs = pool * (pool - 1) // 2
     valid = max(pairs - known, 0)
-    budget = 50 * n + 2000
-    if n <= 0 or pool < 2:
+    if n <= 0 or valid == 0:
         return 0
-    if n >= valid:
-        return budget
-    expect = -pairs * math.log1p(-n / valid)
-    return min(budget, math.ceil(expect * 1.1 + 8 * math.sqrt(expect) + 100))
+    expect = -pairs * math.log1p(-min(n / valid, 0.75))
+    return math.ceil(expect * 1.1 + 8 * math.sqrt(expect) + 100)
 
 
 class Groups:
     """Wanted counts and pool sizes of a few groups (splits, bags), as plan literals."""
 
-    def __init__(self, rows: Sequence[tuple[str, int, int, int]]):
-        self.rows = [r for r in rows if r[3] > 0]  # key, pool size, wanted, draws
+    def __init__(self, rows: Sequence[tuple[str, int, int, int, int]]):
+        self.rows = [r for r in rows if r[3] > 0]  # key, pool size, wanted, draws, number of the first draw
 
     def draws(self, spark, width: int = 1) -> DataFrame:
-        """(grp, pool, want, span, draw, k): ``width`` candidates per draw."""
+        """(grp, pool, want, draw, k): ``width`` candidates per draw."""
         starts, total = [], 0
-        for _, _, _, d in self.rows:
+        for _, _, _, d, _ in self.rows:
             starts.append(total)
             total += d * width
         at = F.size(F.filter(self._array(starts), lambda s: s <= F.col("id"))) - 1
@@ -63,8 +60,7 @@ class Groups:
             F.get(self._array([r[0] for r in self.rows], "string"), F.col("_g")).alias("grp"),
             F.get(self._array([r[1] for r in self.rows]), F.col("_g")).alias("pool"),
             F.get(self._array([r[2] for r in self.rows]), F.col("_g")).alias("want"),
-            F.get(self._array([r[3] for r in self.rows]), F.col("_g")).alias("span"),
-            F.floor(local / width).cast("bigint").alias("draw"),
+            (F.get(self._array([r[4] for r in self.rows]), F.col("_g")) + F.floor(local / width)).cast("bigint").alias("draw"),
             (local % width).cast("int").alias("k"),
         )
 
@@ -95,14 +91,16 @@ def _two_distinct(pool: Column, *parts) -> tuple[Column, Column]:
     return i, j + (j >= i).cast("int")
 
 
-def _uniform_pairs(
-    pool: DataFrame, groups: Groups, seed, tag: str, group: str | None, shared_pool: bool
-) -> DataFrame:
-    """(grp, want, span, draw, id_a, id_b) of every draw, duplicates included."""
+def _numbered(pool: DataFrame, group: str | None, shared_pool: bool) -> DataFrame:
+    """(id, grp, idx): positions in hash order, inside the group unless all groups share the pool."""
     keyed = pool.select("id", F.col(group).cast("string").alias("grp")) if group else pool.select("id", F.lit("all").alias("grp"))
     per_group = group is not None and not shared_pool
-    numbered = number_by_hash(keyed, "pool", ["id"], ["grp"] if per_group else ())
-    draws = groups.draws(pool.sparkSession)
+    return truncate_lineage(number_by_hash(keyed, "pool", ["id"], ["grp"] if per_group else ()))
+
+
+def _uniform_pairs(numbered: DataFrame, groups: Groups, seed, tag: str, per_group: bool) -> DataFrame:
+    """(grp, want, draw, id_a, id_b) of every draw, duplicates included."""
+    draws = groups.draws(numbered.sparkSession)
     i, j = _two_distinct(F.col("pool"), seed, tag, F.col("grp"), F.col("draw"))
     placed = draws.withColumns({"i": i, "j": j})
 
@@ -112,26 +110,98 @@ def _uniform_pairs(
 
     keys = ["grp"] if per_group else []
     out = placed.join(side("i", "_a"), [*keys, "i"]).join(side("j", "_b"), [*keys, "j"])
-    return out.select("grp", "want", "span", "draw", *_canonical("_a", "_b"))
+    return out.select("grp", "want", "draw", *_canonical("_a", "_b"))
 
 
-def _first_distinct(pairs: DataFrame) -> DataFrame:
-    """First draw of each pair, then the first ``want`` pairs of each group."""
-    once = pairs.groupBy("grp", "id_a", "id_b").agg(
-        F.min("draw").alias("draw"), F.min("want").alias("want"), F.min("span").alias("span")
-    )
-    return take_first(once, F.col("draw"), F.col("span"), F.col("want"), ["grp"])
+def _first_distinct(pairs: DataFrame, span: dict[str, int]) -> DataFrame:
+    """First draw of each pair, then the first ``want`` pairs of each group; ``span``: draws made."""
+    once = pairs.groupBy("grp", "id_a", "id_b").agg(F.min("draw").alias("draw"), F.min("want").alias("want"))
+    made = F.create_map(*[F.lit(x) for kv in span.items() for x in kv]).cast("map<string,bigint>")
+    return take_first(once, F.col("draw"), F.element_at(made, F.col("grp")), F.col("want"), ["grp"])
+
 
+def _rounds(groups: list[tuple[str, int, int, int]], draw) -> DataFrame | None:
+    """Rounds of draws until every group (key, pool, wanted, draws) has its wanted pairs.
 
-def _uniform_groups(pool: DataFrame, positives: DataFrame, wanted: dict[str, int], group: str | None, shared_pool: bool) -> Groups:
-    known = positives.count()
-    sizes = _counts(pool, None if shared_pool else group)
-    total = next(iter(sizes.values())) if shared_pool else None
-    rows = []
+    ``draw(Groups)`` gives the valid pairs of some draws. A round goes on where the last
+    one ended, so the result is that of one long stream. The caller asks for no more
+    pairs than exist, so the rounds end.
+    """
+    todo = [(*g, 0) for g in groups]
+    found, span = None, {}
+    while todo:
+        new = truncate_lineage(draw(Groups(todo)))
+        found = new if found is None else found.unionByName(new)
+        span |= {g: first + d for g, _, _, d, first in todo}
+        got = {r["grp"]: r["n"] for r in found.groupBy("grp").agg(F.count_distinct("id_a", "id_b").alias("n")).collect()}
+        todo = [(g, size, n, 2 * d, first + d) for g, size, n, d, first in todo if got.get(g, 0) < n]
+    return None if found is None else _first_distinct(found, span).select("grp", "id_a", "id_b")
+
+
+def _every_pair(numbered: DataFrame, wanted: list[tuple[str, int]], per_group: bool) -> DataFrame:
+    """(grp, want, id_a, id_b, ...): all pairs of the pools of the given groups, each once."""
+    table = numbered.sparkSession.createDataFrame(wanted, "grp string, want long")
+    if per_group:
+        left = numbered.join(F.broadcast(table), "grp")  # a handful of groups
+        size = numbered.groupBy("grp").agg(F.count("*").alias("_n"))
+        left = left.join(F.broadcast(size), "grp")
+    else:
+        groups = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(n).cast("bigint").alias("want")) for g, n in wanted])
+        left = numbered.drop("grp").withColumn("_n", F.lit(numbered.count())).withColumn("_g", F.explode(groups)).select("*", "_g.*").drop("_g")
+    later = left.filter("idx < _n").withColumn("idx", F.explode(F.sequence(F.col("idx") + 1, F.col("_n"))))
+    keys = ["grp", "idx"] if per_group else ["idx"]
+    other = numbered.select(*keys, F.col("id").alias("_b"), *[F.col(c).alias(f"_b_{c}") for c in numbered.columns if c not in ("id", "grp", "idx")])
+    return later.withColumnRenamed("id", "_a").join(other, keys).select("*", *_canonical("_a", "_b"))
+
+
+def _take_by_hash(pairs: DataFrame, seed, tag: str) -> DataFrame:
+    order = F.shiftright(hash_draw(seed, tag, "every", F.col("grp"), F.col("id_a"), F.col("id_b")), 20)
+    return take_first(pairs, order, F.lit(DRAW_SPAN >> 20), F.col("want"), ["grp"], ["id_a", "id_b"]).select("grp", "id_a", "id_b")
+
+
+def _known_inside(positives: DataFrame, numbered: DataFrame, per_group: bool, extra: str | None = None) -> dict[str, int]:
+    """Known pairs with both ends in the pool, per group; with ``extra``, only those whose ends differ in that column."""
+    cols = [extra] if extra else []
+    known = positives.select("id_a", "id_b").distinct()
+    for side in ("id_a", "id_b"):
+        known = known.join(numbered.select(F.col("id").alias(side), F.col("grp").alias(f"g_{side}"), *[F.col(c).alias(f"x_{side}") for c in cols]), side)
+    known = known.filter(F.col("g_id_a") == F.col("g_id_b"))
+    if extra:
+        known = known.filter(F.col("x_id_a") != F.col("x_id_b"))
+    return {str(r["g_id_a"]): r["n"] for r in known.groupBy("g_id_a").agg(F.count("*").alias("n")).collect()}
+
+
+def _union(parts: list[DataFrame | None], like: DataFrame) -> DataFrame:
+    parts = [p for p in parts if p is not None]
+    if not parts:
+        return like.sparkSession.createDataFrame([], f"grp string, id_a {like.schema['id'].dataType.simpleString()}, id_b {like.schema['id'].dataType.simpleString()}")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _uniform(pool: DataFrame, positives: DataFrame, wanted: dict[str, int], seed, tag: str, group: str | None, shared_pool: bool) -> DataFrame:
+    """(grp, id_a, id_b): ``wanted`` distinct unknown pairs per group, or all there are.
+
+    Where more than half of the valid pairs are wanted, all pairs are listed (at most twice
+    the result and the known ones) and taken in hash order; else draws come in rounds.
+    """
+    per_group = group is not None and not shared_pool
+    numbered = _numbered(pool, group, shared_pool)
+    sizes = _counts(numbered, "grp" if per_group else None)
+    known = _known_inside(positives, numbered, per_group)
+    every, some = [], []
     for g, n in sorted(wanted.items()):
-        size = total if shared_pool else sizes.get(g, 0)
-        rows.append((g, size, n, draws_needed(size, n, min(known, size * (size - 1) // 2))))
-    return Groups(rows)
+        at = g if per_group else "all"
+        size, k = sizes.get(at, 0), known.get(at, 0)
+        valid = size * (size - 1) // 2 - k
+        n = min(n, valid)
+        if n > 0 and 2 * n >= valid:
+            every.append((g, n))
+        elif n > 0:
+            some.append((g, size, n, draws_needed(size, n, k)))
+    parts = [_rounds(some, lambda groups: _unknown(_uniform_pairs(numbered, groups, seed, tag, per_group), positives))]
+    if every:
+        parts.append(_take_by_hash(_unknown(_every_pair(numbered, every, per_group).select("grp", "want", "id_a", "id_b"), positives), seed, tag))
+    return _union(parts, pool)
 
 
 def neg_uniform(
@@ -147,9 +217,7 @@ def neg_uniform(
     ``pool`` (id, group), ``positives`` canonical (id_a, id_b). Fewer come back
     only when the pool has fewer; compare the counts with ``shortfall``.
     """
-    groups = _uniform_groups(pool, positives, wanted, group, False)
-    drawn = _uniform_pairs(pool, groups, seed, tag, group, False)
-    return _first_distinct(_unknown(drawn, positives)).select("grp", "id_a", "id_b")
+    return _uniform(pool, positives, wanted, seed, tag, group, False)
 
 
 def shortfall(sample: DataFrame, wanted: dict[str, int]) -> DataFrame:
@@ -165,16 +233,15 @@ def neg_random_baseline(pool: DataFrame, positives: DataFrame, n: int, seed: int
     size, known = pool.count(), positives.count()
     valid = max(1, size * (size - 1) // 2 - known)
     span = math.ceil(n * (size * (size - 1) / 2) / valid * 1.1 + 8 * math.sqrt(n + 1) + 100)
-    groups = Groups([("all", size, n, span)])
-    drawn = _unknown(_uniform_pairs(pool, groups, seed, "baseline", None, False), positives)
-    return take_first(drawn, F.col("draw"), F.col("span"), F.col("want")).select("draw", "id_a", "id_b")
+    groups = Groups([("all", size, n, span, 0)])
+    drawn = _unknown(_uniform_pairs(_numbered(pool, None, False), groups, seed, "baseline", False), positives)
+    return take_first(drawn, F.col("draw"), F.lit(span), F.col("want")).select("draw", "id_a", "id_b")
 
 
 def pu_bags(pool: DataFrame, positives: DataFrame, n: int, bags: int = 20, seed: int = 42) -> DataFrame:
     """(bag, id_a, id_b): independent unlabelled draws per bag, one job for all bags."""
-    groups = _uniform_groups(pool, positives, {str(b): n for b in range(bags)}, "bag", True)
-    drawn = _uniform_pairs(pool.withColumn("bag", F.lit("all")), groups, seed, "bag", "bag", True)
-    return _first_distinct(_unknown(drawn, positives)).select(F.col("grp").cast("int").alias("bag"), "id_a", "id_b")
+    drawn = _uniform(pool.withColumn("bag", F.lit("all")), positives, {str(b): n for b in range(bags)}, seed, "bag", "bag", True)
+    return drawn.select(F.col("grp").cast("int").alias("bag"), "id_a", "id_b")
 
 
 def documented_need(
@@ -228,29 +295,57 @@ def neg_hard(
     With vectors each draw has ``tries`` candidates and keeps the most similar
     one; without, the single candidate.
     """
+    if vectors is not None:
+        pool = pool.join(vectors.select("id").distinct(), "id", "left_semi")  # others cannot be scored
     fam = _Families(pool, group)
-    rows = [(g, fam.counts.get(g, 0), n, 3 * n + 200) for g, n in sorted(wanted.items()) if n > 0 and fam.counts.get(g, 0) >= 2]
-    if not rows:
-        schema = f"grp string, id_a {pool.schema['id'].dataType.simpleString()}, id_b {pool.schema['id'].dataType.simpleString()}, pair_type string"
-        return pool.sparkSession.createDataFrame([], schema)
     width = tries if vectors is not None else 1
-    draws = Groups(rows).draws(pool.sparkSession, width)
-    key = (seed, "hard", F.col("grp"), F.col("draw"), F.col("k"))
-    fi, fj = _two_distinct(F.col("pool"), *key)
-    d = draws.withColumns({"fi": fi, "fj": fj})
-    d = fam.look_up(fam.look_up(d, "fi", "a"), "fj", "b")
-    d = d.withColumns({"ai": draw_index(F.col("a_size"), *key, 2), "bi": draw_index(F.col("b_size"), *key, 3)})
-    d = fam.member(fam.member(d, "a", "ai"), "b", "bi")
-    d = _unknown(d.select("grp", "want", "span", "draw", "k", *_canonical("a", "b")), positives)
-    if vectors is not None:
+    members = fam.pool.withColumn("idx", F.lit(0))
+    squares = {
+        r["grp"]: (r["n"], r["q"])
+        for r in fam.table.groupBy("grp").agg(F.sum("fsize").alias("n"), F.sum(F.col("fsize") * F.col("fsize")).alias("q")).collect()
+    }
+    known = _known_inside(positives, members, group is not None, "family")
+    every, some = [], []
+    for g, n in sorted(wanted.items()):
+        size, square = squares.get(g, (0, 0))
+        valid = (size * size - square) // 2 - known.get(g, 0)
+        n = min(n, valid)
+        # the best of several tries prefers few pairs: a large share of all is taken from the list
+        if n > 0 and (8 if vectors is not None else 2) * n >= valid:
+            every.append((g, n))
+        elif n > 0:
+            some.append((g, fam.counts[g], n, 3 * n + 200))
+
+    def draw(groups: Groups) -> DataFrame:
+        draws = groups.draws(pool.sparkSession, width)
+        key = (seed, "hard", F.col("grp"), F.col("draw"), F.col("k"))
+        fi, fj = _two_distinct(F.col("pool"), *key)
+        d = draws.withColumns({"fi": fi, "fj": fj})
+        d = fam.look_up(fam.look_up(d, "fi", "a"), "fj", "b")
+        d = d.withColumns({"ai": draw_index(F.col("a_size"), *key, 2), "bi": draw_index(F.col("b_size"), *key, 3)})
+        d = fam.member(fam.member(d, "a", "ai"), "b", "bi")
+        d = _unknown(d.select("grp", "want", "draw", "k", *_canonical("a", "b")), positives)
+        if vectors is None:
+            return d.drop("k")
         d = cosine_pairs(d, "id_a", "id_b", vectors)
         best = d.groupBy("grp", "draw").agg(
-            F.max_by(F.struct("id_a", "id_b"), F.struct("score", -F.col("k"))).alias("p"),
-            F.min("want").alias("want"), F.min("span").alias("span"),
+            F.max_by(F.struct("id_a", "id_b"), F.struct("score", -F.col("k"))).alias("p"), F.min("want").alias("want")
         )
-        d = best.select("grp", "want", "span", "draw", "p.id_a", "p.id_b")
+        return best.select("grp", "want", "draw", "p.id_a", "p.id_b")
+
+    parts = [_rounds(some, draw)]
+    if every:
+        numbered = _numbered(fam.pool, "grp", False).join(fam.pool.select("id", "grp", "family"), ["id", "grp"])
+        pairs = _every_pair(truncate_lineage(numbered), every, True).filter("family <> _b_family")
+        pairs = _unknown(pairs.select("grp", "want", "id_a", "id_b"), positives)
+        if vectors is None:
+            parts.append(_take_by_hash(pairs, seed, "hard"))
+        else:  # the most similar ones
+            scored = truncate_lineage(cosine_pairs(pairs, "id_a", "id_b", vectors))
+            away = F.floor((1 - F.col("score")) * (1 << 39)).cast("bigint")
+            parts.append(take_first(scored, F.greatest(away, F.lit(0)), F.lit((1 << 40) + 1), F.col("want"), ["grp"], ["id_a", "id_b"]).select("grp", "id_a", "id_b"))
     kind = "hard_cross_family_geometric" if vectors is not None else "hard_cross_family"
-    return _first_distinct(d).select("grp", "id_a", "id_b", F.lit(kind).alias("pair_type"))
+    return _union(parts, pool).withColumn("pair_type", F.lit(kind))
 
 
 def neg_mixed(
@@ -266,13 +361,11 @@ def neg_mixed(
 
     A group short of hard pairs gets more uniform ones, so the total holds.
     """
-    hard = neg_hard(pool, positives, {g: int(n * hard_fraction) for g, n in wanted.items()}, vectors, seed, group)
-    groups = _uniform_groups(pool, positives, wanted, group, False)
-    drawn = _unknown(_uniform_pairs(pool, groups, seed, "easy", group, False), positives)
-    fresh = drawn.join(hard.select("grp", "id_a", "id_b"), ["grp", "id_a", "id_b"], "left_anti")
-    found = hard.groupBy("grp").agg(F.count("*").alias("_hard"))
-    left = fresh.join(found, "grp", "left").withColumn("want", F.col("want") - F.coalesce("_hard", F.lit(0))).drop("_hard")
-    easy = _first_distinct(left).select("grp", "id_a", "id_b", F.lit("easy_random").alias("pair_type"))
+    hard = truncate_lineage(neg_hard(pool, positives, {g: int(n * hard_fraction) for g, n in wanted.items()}, vectors, seed, group))
+    found = _counts(hard, "grp")
+    taken = positives.select("id_a", "id_b").unionByName(hard.select("id_a", "id_b")).distinct()
+    rest = {g: n - found.get(g, 0) for g, n in wanted.items()}
+    easy = neg_uniform(pool, taken, rest, seed, group, "easy").withColumn("pair_type", F.lit("easy_random"))
     return hard.unionByName(easy)
 
 

@@ -18,7 +18,7 @@ SEED = 42
 
 
 def hex_draw(*parts: str) -> str:
-    return "cast('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 8) as bigint)"
+    return "cast('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 15) as bigint)"
 
 
 NUM_SQL = "num as (select id, row_number() over (order by md5('pool|' || id), id) as idx from vectors), cnt as (select count(*) as m, (select count(*) from gold) as p from vectors)"
@@ -102,7 +102,7 @@ def hard_sql(width: int, scored: bool) -> str:
     h = "'" + f"{SEED}|hard|all|" + "' || draw || '|' || k || '|"
 
     def at(slot: int) -> str:
-        return f"cast('0x' || substr(md5({h}{slot}'), 1, 8) as bigint)"
+        return f"cast('0x' || substr(md5({h}{slot}'), 1, 15) as bigint)"
 
     best = "max_by((id_a, id_b), (s, -k))" if scored else "max_by((id_a, id_b), -k)"
     return f"""fs as (select family, count(*) as fsize from vectors group by 1),
@@ -180,9 +180,9 @@ _T = "'42|triplet_hard|' || pair_id || '|' || anchor || '|' || k || '|"
     ctes("vectors", "gold", extra=f"""{NUM_SQL}, {TRIPLET_SQL}, fs as (select family, count(*) as fsize from vectors group by 1),
         fam as (select family, fsize, row_number() over (order by md5('family|' || family)) as fidx, count(*) over () as nf from fs),
         mem as (select id, family, row_number() over (partition by family order by md5('member|' || id)) as midx from vectors),
-        td as (select d.*, k, fidx as own, cast('0x' || substr(md5({_T}0'), 1, 8) as bigint) % (nf - 1) + 1 as fi
+        td as (select d.*, k, fidx as own, cast('0x' || substr(md5({_T}0'), 1, 15) as bigint) % (nf - 1) + 1 as fi
             from dir d join vectors a on a.id = anchor join fam on fam.family = a.family, (select unnest(range(10)) as k)),
-        tf as (select td.*, fam.family, cast('0x' || substr(md5({_T}1'), 1, 8) as bigint) % fsize + 1 as ni from td join fam on fidx = fi + case when fi >= own then 1 else 0 end),
+        tf as (select td.*, fam.family, cast('0x' || substr(md5({_T}1'), 1, 15) as bigint) % fsize + 1 as ni from td join fam on fidx = fi + case when fi >= own then 1 else 0 end),
         tm as (select tf.pair_id, tf.anchor, tf.positive, k, mem.id as negative from tf join mem on mem.family = tf.family and midx = ni where mem.id <> tf.positive
             and not exists (select 1 from dir x where x.anchor = tf.anchor and x.positive = mem.id)),
         hard as (select pair_id, anchor, positive, max_by(negative, (round(list_cosine_similarity(a.v, b.v), 12), -k)) as negative
@@ -198,15 +198,15 @@ def triplet_hard(spark, sf):
 @query(
     "pu_bags",
     ctes("vectors", "gold", extra=f"""{NUM_SQL}, bd as (select bag, draw, {two("'bag'", "bag || '|' || draw", 'm')}
-            from (select unnest(range(20)) as bag), (select unnest(range((select 3 * count(*) + 1000 from gold))) as draw), cnt),
+            from (select unnest(range(20)) as bag), (select unnest(range((select 30 * count(*) + 2000 from gold))) as draw), cnt),
         bp as (select bag, draw, least(a.id, b.id) as id_a, greatest(a.id, b.id) as id_b from bd join num a on a.idx = i join num b on b.idx = j),
         bv as (select bag, id_a, id_b, min(draw) as draw from bp where not exists (select 1 from gold g where least(g.id_1, g.id_2) = id_a and greatest(g.id_1, g.id_2) = id_b) group by all)""")
     + """select cast(bag as integer) as bag, id_a, id_b from (select *, row_number() over (partition by bag order by draw) as rn from bv)
-        where rn <= (select count(*) from gold)""",
+        where rn <= (select 10 * count(*) from gold)""",
 )
 def pu_bags(spark, sf):
     pool, gold, positives = _inputs(spark, sf)
-    return N.pu_bags(pool.select("id"), positives, gold.count(), 20, SEED)
+    return N.pu_bags(pool.select("id"), positives, N.NEGATIVES_PER_POSITIVE * gold.count(), 20, SEED)
 
 
 def _keyed(spark, sf):

@@ -41,6 +41,42 @@ def test_uniform_takes_everything_from_a_small_pool(spark):
     assert (short.wanted, short.found) == (100, 13)
 
 
+def all_but(spark, n, left):
+    """Every pair of n entities is known but ``left`` of them."""
+    pairs = [(a, b) for a in range(n) for b in range(a + 1, n)]
+    return spark.createDataFrame(pairs[left:], "id_a long, id_b long"), set(pairs[:left])
+
+
+def test_the_last_unknown_pairs_are_found(spark):
+    pos, free = all_but(spark, 100, 10)
+    assert set(keys(N.neg_uniform(pool(spark, 100), pos, {"all": 10}))) == free
+    some = keys(N.neg_uniform(pool(spark, 100), pos, {"all": 3}))
+    assert len(set(some)) == 3 and set(some) < free
+
+
+def test_a_short_round_goes_on(spark, monkeypatch):
+    whole = keys(N.neg_uniform(pool(spark, 50), hub_positives(spark, 50), {"all": 100}))
+    monkeypatch.setattr(N, "draws_needed", lambda pool, n, known: 7)
+    assert sorted(keys(N.neg_uniform(pool(spark, 50), hub_positives(spark, 50), {"all": 100}))) == sorted(whole)
+
+
+def test_hard_negatives_are_complete(spark):
+    n = 100  # 4 families of 25: 3,750 valid pairs
+    none = spark.createDataFrame([], "id_a long, id_b long")
+    v = pool(spark, n).select("id", F.array(F.sin("id"), F.cos("id"), F.lit(0.1)).alias("v"))
+    for vectors, want in ((v, 300), (v, 1000), (v, 2000), (None, 1000), (None, 3700), (None, 9999)):
+        got = N.neg_hard(pool(spark, n), none, {"all": want}, vectors).collect()
+        assert len({(r.id_a, r.id_b) for r in got}) == len(got) == min(want, 3750)
+        assert all(r.id_a % 4 != r.id_b % 4 for r in got)
+
+
+def test_bags_of_a_nearly_known_pool(spark):
+    pos, free = all_but(spark, 40, 12)
+    got = N.pu_bags(pool(spark, 40), pos, 9, 3).collect()
+    assert Counter(r.bag for r in got) == {0: 9, 1: 9, 2: 9}
+    assert {(r.id_a, r.id_b) for r in got} <= free
+
+
 def test_uniform_stays_inside_the_split(spark):
     p = pool(spark, 60)
     where = {r.id: r.split for r in p.collect()}
