@@ -32,14 +32,17 @@ from pyspark.sql import functions as F
 
 from pairlab.llm.kernels import lower_table, mix, slices, text_bytes, without, word_hashes, word_spans
 from pairlab.operators.graph import connected_components
-from pairlab.session import task_count, truncate_lineage
+from pairlab.session import truncate_lineage
 
 WORDS = 5
 MARGIN = 1.15
 FREQUENT = 16
 SKETCH = 256
 BLOCK = 512
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+RANGES = 8  # ranges of parts that a band's signatures are dealt to
+ROWS_PER_SPLIT = 2_000_000  # one more split of every range for so many rows
+BROADCAST_ROWS = 500_000  # pairs of row number and set name, 16 bytes each
 LOWER = np.frombuffer(lower_table(), np.uint8)
 IS_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 SALT = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
@@ -109,8 +112,8 @@ class Band:
         return self.parts - (size + np.minimum(size * 4 // 3, self.high)) // 7 - 1
 
 
-def signatures(value: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each band: its number, rows and spare signatures of its sets, then owner (index into rows) and signature."""
+def signatures(value: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each band: its number, rows and spare signatures of its sets, then owner (index into rows), signature and range of parts."""
     size = np.diff(offsets)
     own = np.full(len(size), -1)
     own[size > 0] = np.floor(np.log2(size[size > 0])).astype(int)
@@ -140,7 +143,7 @@ def signatures(value: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np
             empty[short] = 0
         with np.errstate(over="ignore"):
             sig = mix(sums ^ mix((key % band.parts + (j << 32)).astype(np.uint64)))
-        yield j, rows, spare - empty, key // band.parts, sig
+        yield j, rows, spare - empty, key // band.parts, sig, key % band.parts * RANGES // band.parts
 
 
 def describe(docs: DataFrame, text: str) -> DataFrame:
@@ -160,59 +163,63 @@ def describe(docs: DataFrame, text: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _signed(docs: DataFrame, text: str, buckets: int, frequent: int) -> DataFrame:
-    """Packed signatures by bucket: one row for each bucket of a slice. Bucket -1 holds what a slice alone shows to be frequent."""
-    schema = "bucket int, sigs binary, owners binary, sets binary, sizes binary, spares binary, bands binary, known binary"
+PACKED = "bucket int, sigs binary, owners binary, sets binary, sizes binary, spares binary, known binary"
+
+
+def _signed(docs: DataFrame, text: str, splits: int, frequent: int) -> DataFrame:
+    """Packed signatures by bucket: one row for each bucket of a slice.
+
+    A bucket is a band, a range of its parts and one of ``splits`` shares of the signatures.
+    Signatures keep 48 bits (a chance agreement only adds a candidate). What one slice shows
+    to be frequent goes to the buckets of negative numbers, in any split.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, text, SLICE_BYTES):
                 value, offsets = shingle_sets(b, text)
                 ids, size = set_ids(value, offsets), np.diff(offsets)
-                sets, sizes, spares, bands, owners, sigs = [], [], [], [], [], []
-                base = 0
-                for j, rows, spare, owner, sig in signatures(value, offsets):
+                out = []
+                for j, rows, spare, owner, sig, span in signatures(value, offsets):
                     _, one = np.unique(ids[rows], return_index=True)  # equal sets sign once
                     to = np.full(len(rows), -1)
                     to[one] = np.arange(len(one))
                     use = to[owner] >= 0
-                    owners.append(to[owner[use]] + base)
-                    sigs.append(sig[use])
-                    base += len(one)
-                    for to_list, x in ((sets, ids[rows[one]]), (sizes, size[rows[one]]), (spares, spare[one]), (bands, np.full(len(one), j))):
-                        to_list.append(x)
-                if not base:
-                    continue
-                sets, sizes, spares, bands = np.concatenate(sets), np.concatenate(sizes).astype(np.int32), np.concatenate(spares).astype(np.int32), np.concatenate(bands).astype(np.int8)
-                owner, sig = np.concatenate(owners), np.concatenate(sigs)
-                order = np.argsort(sig, kind="stable")
-                owner, sig = owner[order], sig[order]
-                start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-                many = np.diff(np.append(start, len(sig))) > frequent
-                known = sig[start[many]]
-                hot = np.isin(sig, known) if len(known) else np.zeros(len(sig), bool)
-                bucket = (sig >> np.uint64(32)).astype(np.int64) * buckets >> 32
-                bucket[hot] = -1
-                where = (known >> np.uint64(32)).astype(np.int64) * buckets >> 32
-                out = []
-                for k in np.union1d(bucket, where).tolist():
-                    mine = np.flatnonzero(bucket == k)
-                    used, back = np.unique(owner[mine], return_inverse=True)
-                    out.append(
-                        (k, sig[mine].tobytes(), back.astype(np.uint32).tobytes(), sets[used].tobytes(), sizes[used].tobytes(), spares[used].tobytes(), bands[used].tobytes(), known[where == k].tobytes())
-                    )
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], [x.split()[0] for x in schema.split(", ")])
-
-    return docs.select(text).mapInArrow(run, schema)
-
-
-def _unpack(rows: list[dict]) -> tuple[np.ndarray, ...]:
-    get = lambda c, t: [np.frombuffer(r[c], t) for r in rows]
+                    owner, sig, span = to[owner[use]], sig[use], span[use]
+                    sets, sizes, spares = ids[rows[one]], size[rows[one]].astype(np.int32), spare[one].astype(np.int32)
+                    bucket = (j * RANGES + span) * splits + (sig >> np.uint64(48)).astype(np.int64) % splits
+                    sig = sig & np.uint64((1 << 48) - 1)
+                    order = np.lexsort((sig, bucket))
+                    owner, sig, bucket = owner[order], sig[order], bucket[order]
+                    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (bucket[1:] != bucket[:-1])])
+                    number = np.cumsum(new) - 1
+                    hot = np.bincount(number)[number] > frequent
+                    for k in np.unique(bucket).tolist():
+                        mine = bucket == k
+                        known = np.unique(sig[mine & hot])
+                        for name, some in ((k, mine & ~hot), (-1 - k, mine & hot)):
+                            if not some.any() and not (name == k and len(known)):
+                                continue
+                            used, back = np.unique(owner[some], return_inverse=True)
+                            short = sig[some].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                            out.append((name, short.tobytes(), back.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes(), sets[used].tobytes(), sizes[used].tobytes(), spares[used].tobytes(), known.tobytes()))
+                if out:
+                    cols = list(zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], [x.split()[0] for x in PACKED.split(", ")])
+
+    return docs.select(text).mapInArrow(run, PACKED)
+
+
+def _unpack(part: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    get = lambda c, t: [np.frombuffer(x, t) for x in part[c]]
     sets = get("sets", np.int64)
     base = np.cumsum([0, *map(len, sets)])
-    owners = np.concatenate([o.astype(np.int64) + base[i] for i, o in enumerate(get("owners", np.uint32))])
-    return np.concatenate(get("sigs", np.uint64)), owners, np.concatenate(sets), *(np.concatenate(get(c, t)) for c, t in (("sizes", np.int32), ("spares", np.int32), ("bands", np.int8), ("known", np.uint64)))
+    wide = [np.uint16 if 3 * len(o) == len(x) else np.uint32 for o, x in zip(part["owners"], part["sigs"], strict=True)]
+    owners = np.concatenate([np.frombuffer(o, t).astype(np.int64) + base[i] for i, (o, t) in enumerate(zip(part["owners"], wide, strict=True))])
+    short = np.concatenate(get("sigs", np.uint8)).reshape(-1, 6)
+    sigs = np.zeros((len(short), 8), np.uint8)
+    sigs[:, :6] = short
+    return sigs.view("<u8").ravel(), owners, np.concatenate(sets), *(np.concatenate(get(c, t)) for c, t in (("sizes", np.int32), ("spares", np.int32), ("known", np.uint64)))
 
 
 PAIRS = "a bigint, b bigint, sa int, sb int, sig bigint, set_id bigint, size int, spare int, band int"
@@ -223,13 +230,14 @@ def _pair_rows(a, b, sa, sb) -> pd.DataFrame:
     return pd.DataFrame({"a": np.where(low, a, b), "b": np.where(low, b, a), "sa": np.where(low, sa, sb), "sb": np.where(low, sb, sa)})
 
 
-def _bucket_pairs(frequent: int):
+def _bucket_pairs(frequent: int, splits: int):
     """Pairs of the small groups of one bucket, and the members of the frequent ones."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         names = [x.split()[0] for x in PAIRS.split(", ")]
-        sig, owner, sets, sizes, spares, bands, known = _unpack(part.to_dict("records"))
-        if part["bucket"].iloc[0] < 0:
+        bucket = int(part["bucket"].iloc[0])
+        sig, owner, sets, sizes, spares, known = _unpack(part)
+        if bucket < 0:
             hot = np.ones(len(sig), bool)
             pairs = []
         else:
@@ -254,7 +262,9 @@ def _bucket_pairs(frequent: int):
                 pairs.append(_pair_rows(ids[i[near]], ids[k[near]], size[i[near]], size[k[near]]))
         found = pd.concat(pairs).drop_duplicates() if pairs else pd.DataFrame(columns=names[:4])
         o = owner[hot]
-        rest = pd.DataFrame({"sig": sig[hot].view(np.int64), "set_id": sets[o], "size": sizes[o], "spare": spares[o], "band": bands[o]})
+        place = bucket if bucket >= 0 else -1 - bucket
+        name = mix(sig[hot] ^ mix(np.full(int(hot.sum()), place, np.uint64))).view(np.int64)  # alike in the buckets of either sign
+        rest = pd.DataFrame({"sig": name, "set_id": sets[o], "size": sizes[o], "spare": spares[o], "band": place // splits // RANGES})
         # nullable integers before the columns are filled up: 64-bit names must not pass through floats
         full = [x.astype("Int64").reindex(columns=names).astype("Int64") for x in (found, rest)]
         return pd.concat(full)
@@ -262,8 +272,8 @@ def _bucket_pairs(frequent: int):
     return run
 
 
-def _verify(pairs: DataFrame, facts: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
-    """The pairs (a, b) of sets with a similarity of 3/4 or more, on whole sets."""
+def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs (a, b, sa, sb) whose coarse counts do not rule out a similarity of 3/4."""
     sketch = facts.select(F.col("set_id").alias("k"), "sketch")
     coarse = pairs.join(sketch, F.col("a") == F.col("k")).drop("k").withColumnRenamed("sketch", "x")
     coarse = coarse.join(sketch, F.col("b") == F.col("k")).drop("k").withColumnRenamed("sketch", "y")
@@ -277,20 +287,29 @@ def _verify(pairs: DataFrame, facts: DataFrame, docs: DataFrame, row: str, text:
                 ok = pa.array(7 * np.abs(x - y).sum(1) <= n)
                 yield b.select(["a", "b", "sa", "sb"]).filter(ok)
 
-    maybe = truncate_lineage(coarse.mapInArrow(differ, "a bigint, b bigint, sa int, sb int"))
-    wanted = maybe.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    rows = facts.join(wanted, "set_id").select("set_id", F.col("one").alias(row))
+    return truncate_lineage(coarse.mapInArrow(differ, "a bigint, b bigint, sa int, sb int"))
+
+
+def _elements(pairs: DataFrame, facts: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
+    """(k, elements): the whole sets that occur in ``pairs``, each from one of its documents."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    rows = truncate_lineage(facts.join(wanted, "set_id").select("set_id", F.col("one").alias(row)))
+    if rows.count() <= BROADCAST_ROWS:  # else the texts are shuffled to them
+        rows = F.broadcast(rows)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, text, SLICE_BYTES):
                 value, offsets = shingle_sets(b, text)
                 got = [value[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("set_id"), pa.array(got, pa.binary())], ["set_id", "elements"])
+                yield pa.RecordBatch.from_arrays([b.column("set_id"), pa.array(got, pa.binary())], ["k", "elements"])
+
+    return truncate_lineage(docs.select(row, text).join(rows, row).select("set_id", text).mapInArrow(sets, "k bigint, elements binary"))
+
 
-    whole = truncate_lineage(docs.select(row, text).join(rows, row).select("set_id", text).mapInArrow(sets, "set_id bigint, elements binary"))
-    side = whole.select(F.col("set_id").alias("k"), "elements")
-    both = maybe.join(side, F.col("a") == F.col("k")).drop("k").withColumnRenamed("elements", "x")
+def _similar(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    """The pairs (a, b) with a similarity of 3/4 or more, on whole sets."""
+    both = pairs.join(side, F.col("a") == F.col("k")).drop("k").withColumnRenamed("elements", "x")
     both = both.join(side, F.col("b") == F.col("k")).drop("k").withColumnRenamed("elements", "y")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,6 +326,22 @@ def _verify(pairs: DataFrame, facts: DataFrame, docs: DataFrame, row: str, text:
     return truncate_lineage(both.mapInArrow(similar, "a bigint, b bigint"))
 
 
+def _links(pairs: DataFrame, facts: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
+    """Enough similar pairs of ``pairs`` to connect all that its similar pairs connect.
+
+    First each set is held against its smallest partner; the pairs that are left between
+    different components are then verified one and all.
+    """
+    maybe = _plausible(pairs, facts)
+    side = _elements(maybe, facts, docs, row, text)
+    near = _similar(maybe.groupBy("b").agg(F.min("a").alias("a")), side)
+    linked = truncate_lineage(connected_components(near, "a", "b"))
+    for end in ("a", "b"):
+        maybe = maybe.join(linked.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}")), end, "left")
+    open_ = maybe.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    return near.unionByName(_similar(open_, side))
+
+
 def _block_pairs(members: DataFrame) -> DataFrame:
     """Pairs of different components inside each signature, in blocks of about ``BLOCK`` members."""
     size = members.groupBy("sig").agg(F.count("*").alias("n"))
@@ -346,9 +381,9 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table = truncate_lineage(describe(docs, text))
     sets = table.filter("set_id is not null").groupBy("set_id")
     facts = sets.agg(F.min("_row").alias("one"), F.min_by("sketch", "_row").alias("sketch"))
-    buckets = 1 << (max(32, 2 * task_count(docs.sparkSession)) - 1).bit_length()
-    packed = _signed(docs, text, buckets, frequent).withColumn("lot", F.when(F.col("bucket") < 0, F.monotonically_increasing_id() % 997).otherwise(0))
-    found = truncate_lineage(packed.repartition("bucket", "lot").groupBy("bucket", "lot").applyInPandas(_bucket_pairs(frequent), PAIRS))
+    splits = 1 + table.count() // ROWS_PER_SPLIT
+    packed = _signed(docs, text, splits, frequent).withColumn("lot", F.when(F.col("bucket") < 0, F.monotonically_increasing_id() % 997).otherwise(0))
+    found = truncate_lineage(packed.groupBy("bucket", "lot").applyInPandas(_bucket_pairs(frequent, splits), PAIRS))
     first = found.filter("a is not null").select("a", "b", "sa", "sb").distinct()
     hot = found.filter("sig is not null").select("sig", "set_id", "size", "spare", "band").distinct()
     heavy = hot.groupBy("set_id", "band").agg(F.count("*").alias("n"), F.min("spare").alias("s")).filter("n > s").select("set_id", "band")
@@ -357,7 +392,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = members.join(pivot, "sig").filter("set_id <> p.set_id and 7 * abs(size - p.size) <= size + p.size")
     star = star.select(F.col("p.set_id").alias("a"), F.col("set_id").alias("b"), F.col("p.size").alias("sa"), F.col("size").alias("sb"))
     tried = truncate_lineage(first.unionByName(star).distinct())
-    edges = [_verify(tried, facts, docs, "_row", text)]
+    edges = [_links(tried, facts, docs, "_row", text)]
     if not members.isEmpty():
         linked = connected_components(edges[0], "a", "b").withColumnRenamed("id", "set_id")
         placed = members.join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
@@ -365,7 +400,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         open_ = truncate_lineage(placed.join(split, "sig").join(facts.select("set_id", "sketch"), "set_id"))
         if not open_.isEmpty():
             more = _block_pairs(open_).join(tried, ["a", "b"], "left_anti")
-            edges.append(_verify(truncate_lineage(more), facts, docs, "_row", text))
+            edges.append(_links(truncate_lineage(more), facts, docs, "_row", text))
     linked = connected_components(reduce(DataFrame.unionByName, edges), "a", "b").withColumnRenamed("id", "set_id")
     owned = table.drop("sketch").join(linked, "set_id", "left").withColumn("_group", F.coalesce("component", "set_id"))
     # a hot component is reduced before its smallest id goes back to its rows

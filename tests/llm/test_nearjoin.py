@@ -74,7 +74,7 @@ def test_signatures_meet_for_every_similar_pair():
             continue
         value, offsets = np.concatenate([np.sort(a), np.sort(b)]), np.array([0, len(a), len(a) + len(b)])
         shared, spare = 0, {}
-        for j, rows, left, owner, sig in nearjoin.signatures(value, offsets):
+        for _j, rows, left, owner, sig, _ in nearjoin.signatures(value, offsets):
             if len(rows) == 2:
                 common = len(np.intersect1d(sig[owner == 0], sig[owner == 1]))
                 shared = max(shared, common - max(0, int(left.max())))
@@ -87,3 +87,9 @@ def test_empty_and_odd_tables(spark, docs):
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in got) == [(-1, 0, -1), (-1, 1, 3), (3, 1, 3), (5, 1, 3), (5, 1, 3), (8, 0, 8)]
     kept = nearjoin.one_of_each(docs([(1, "x y"), (2, "x y"), (3, None), (4, "z")]))
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+
+
+def test_very_many_short_texts_in_one_slice(spark, docs):
+    rows = [(i, f"w{i % 70000}") for i in range(70010)]
+    got = nearjoin.near_components(docs(rows, partitions=1).select("doc_id", "text")).filter("component_id <> doc_id").collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(70000 + k, k) for k in range(10)]
