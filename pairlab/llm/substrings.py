@@ -35,7 +35,7 @@ from pairlab.llm.kernels import POWERS, mix, slices, text_bytes, without
 from pairlab.session import truncate_lineage
 
 LENGTH, LEAD = 200, 48
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 CHUNK_WINDOWS = 500_000  # windows sorted at once
 CROWDED_WINDOWS = 500_000  # leads with more windows than that are compared across buckets
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
