@@ -208,11 +208,11 @@ def nonempty_sequence(spark, sf):
 @query(
     "min_length",
     ctes("catalogue") + f"""select ord, length(s) as n from (select ord, {VALID_SQL.format(c='Sequence')} as s from catalogue)
-        where length(s) = 0 or length(s) >= 400""",
+        where length(s) = 0 or length(s) >= 30""",
 )
 def min_length(spark, sf):
     seq = X.dirty_catalogue(spark, sf).select("ord", T.valid_residues("Sequence").alias("seq"))
-    return D.min_length(seq, minimum=400).select("ord", F.length("seq").cast("bigint").alias("n"))
+    return D.min_length(seq).select("ord", F.length("seq").cast("bigint").alias("n"))
 
 
 @query("has_vector", ctes("names") + "select id, official_name from names where id in (select vec_id from embeddings)")
@@ -244,30 +244,42 @@ def evidence_exclude_prefix(spark, sf):
     return E.exclude_by_prefix(X.raw_pairs(spark, sf)).select("pair_id", "evidence_level")
 
 
+def _with_text(spark, sf):
+    docs = readers.read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    return X.names(spark, sf).join(docs, "id", "left_semi")
+
+
 @query(
     "coverage_gap",
     ctes("raw_pairs", extra="e as (select split_part(name_1, '.', 1) as entity from raw_pairs union select split_part(name_2, '.', 1) from raw_pairs)")
-    + "select entity from e where entity not in (select p_brand || ' ' || p_name from part where p_type = 'ECONOMY')",
+    + "select entity from e where entity not in (select split_part(official_name, '.', 1) from names where id in (select doc_id from documents))",
 )
 def coverage_gap(spark, sf):
     pairs = X.raw_pairs(spark, sf).select(T.base_name("name_1").alias("a"), T.base_name("name_2").alias("b"))
-    cat = X.names(spark, sf).filter("family = 'ECONOMY'")
-    return D.coverage_gap(pairs, "a", "b", cat, "official_name")
+    known = _with_text(spark, sf).select(T.base_name("official_name").alias("official_name"))
+    return D.coverage_gap(pairs, "a", "b", known, "official_name")
 
 
 @query(
     "known_endpoints",
-    ctes("raw_pairs", extra="k as (select distinct official_name from names where family in ('ECONOMY', 'PROMO', 'LARGE'))")
+    ctes("raw_pairs", extra="k as (select distinct official_name from names where id in (select doc_id from documents))")
     + "select pair_id, name_1, name_2 from raw_pairs where name_1 in (from k) and name_2 in (from k)",
 )
 def known_endpoints(spark, sf):
-    known = X.names(spark, sf).filter(F.col("family").isin("ECONOMY", "PROMO", "LARGE"))
-    return D.known_endpoints(X.raw_pairs(spark, sf), known, "official_name", "name_1", "name_2").select("pair_id", "name_1", "name_2")
+    """Both ends are catalogue entries with a text."""
+    return D.known_endpoints(X.raw_pairs(spark, sf), _with_text(spark, sf), "official_name", "name_1", "name_2").select("pair_id", "name_1", "name_2")
 
 
-@query("drop_self_pairs", ctes("raw_pairs") + "select pair_id from raw_pairs where family_1 <> family_2")
+@query(
+    "drop_self_pairs",
+    ctes("raw_pairs", extra="m as (select official_name as name, min(id) as id from names group by 1)")
+    + "select pair_id from raw_pairs join m x on x.name = name_1 join m y on y.name = name_2 where x.id <> y.id",
+)
 def drop_self_pairs(spark, sf):
-    return D.drop_self_pairs(X.raw_pairs(spark, sf), "family_1", "family_2").select("pair_id")
+    """Names become ids first; several names of one entity are one id."""
+    ids = R.name_to_id(X.names(spark, sf), "official_name", "id", "id")
+    mapped = R.map_pairs(X.raw_pairs(spark, sf), "name_1", "name_2", ids)
+    return D.drop_self_pairs(mapped, "id_1", "id_2").select("pair_id")
 
 
 # --- duplicates, sorts, unions -------------------------------------------------
@@ -281,11 +293,11 @@ def dedup_rows(spark, sf):
 @query(
     "dedup_subset_first",
     ctes("catalogue") + f"""select ord, name, AccUniProt, seq from (select *, row_number() over (partition by name, AccUniProt, seq order by ord) rn
-        from (select ord, {sql_clean('Name')} as name, AccUniProt, case when Sequence is null then '' else 'x' end as seq from catalogue)) where rn = 1""",
+        from (select ord, {sql_clean('Name')} as name, AccUniProt, coalesce(Sequence, '') as seq from catalogue)) where rn = 1""",
 )
 def dedup_subset_first(spark, sf):
     cat = X.dirty_catalogue(spark, sf).select(
-        "ord", T.clean_text("Name").alias("name"), "AccUniProt", F.when(F.col("Sequence").isNull(), "").otherwise("x").alias("seq")
+        "ord", T.clean_text("Name").alias("name"), "AccUniProt", F.coalesce("Sequence", F.lit("")).alias("seq")
     )
     return D.first_per_key(cat, ["name", "AccUniProt", "seq"], ["ord"])
 
@@ -359,14 +371,14 @@ def isoform_representative(spark, sf):
 
 @query(
     "resolve_gold",
-    ctes("raw_pairs", extra=_REPS + ", r2 as (select base, official_name from reps where official_name like '%.%')")
+    ctes("raw_pairs", extra=_REPS)
     + """select pair_id, b1 as name_1, b2 as name_2, x.official_name as resolved_1, y.official_name as resolved_2
         from (select pair_id, split_part(name_1, '.', 1) as b1, split_part(name_2, '.', 1) as b2 from raw_pairs)
-        join r2 x on x.base = b1 join r2 y on y.base = b2""",
+        join reps x on x.base = b1 join reps y on y.base = b2""",
 )
 def resolve_gold(spark, sf):
     raw = X.raw_pairs(spark, sf).select("pair_id", T.base_name("name_1").alias("name_1"), T.base_name("name_2").alias("name_2"))
-    reps = R.isoform_representative(X.names(spark, sf), "official_name").filter(F.col("official_name").contains("."))
+    reps = R.isoform_representative(X.names(spark, sf), "official_name")
     return R.resolve_gold(raw, "name_1", "name_2", reps)
 
 
@@ -382,19 +394,19 @@ def name_to_id_last(spark, sf):
 
 @query(
     "resolve_exact_then_base",
-    ctes("names") + """, k as (select official_name as key, min(id) as ord from names where family in ('ECONOMY', 'PROMO') group by 1),
+    ctes("names") + """, k as (select official_name as key, min(id) as ord from names group by 1),
         b as (select split_part(key, '.', 1) as base, min_by(key, ord) as key from k group by 1),
         q as (select distinct p_brand || ' ' || p_name as name from part)
         select q.name, coalesce(k.key, b.key) as resolved from q left join k on k.key = q.name left join b on b.base = q.name""",
 )
 def resolve_exact_then_base(spark, sf):
     names = X.names(spark, sf)
-    keys = names.filter(F.col("family").isin("ECONOMY", "PROMO")).groupBy(F.col("official_name").alias("key")).agg(F.min("id").alias("ord"))
+    keys = names.groupBy(F.col("official_name").alias("key")).agg(F.min("id").alias("ord"))
     wanted = readers.read_table(spark, sf, "part").select(F.concat_ws(" ", "p_brand", "p_name").alias("name")).distinct()
     return R.resolve_exact_then_base(wanted, "name", keys, "key", "ord")
 
 
-_MAP = "m as (select official_name as name, min(id) as id from names where family <> 'SMALL' group by 1)"
+_MAP = "m as (select official_name as name, min(id) as id from names where id in (select doc_id from documents) group by 1)"
 
 
 @query(
@@ -402,7 +414,7 @@ _MAP = "m as (select official_name as name, min(id) as id from names where famil
     ctes("raw_pairs", extra=_MAP) + "select pair_id, x.id as id_1, y.id as id_2 from raw_pairs join m x on x.name = name_1 join m y on y.name = name_2",
 )
 def map_pairs(spark, sf):
-    names = R.name_to_id(X.names(spark, sf).filter("family <> 'SMALL'"), "official_name", "id", "id")
+    names = R.name_to_id(_with_text(spark, sf), "official_name", "id", "id")
     return R.map_pairs(X.raw_pairs(spark, sf), "name_1", "name_2", names).select("pair_id", "id_1", "id_2")
 
 
@@ -413,7 +425,7 @@ def map_pairs(spark, sf):
         from raw_pairs left join m x on x.name = name_1 left join m y on y.name = name_2""",
 )
 def map_report(spark, sf):
-    names = R.name_to_id(X.names(spark, sf).filter("family <> 'SMALL'"), "official_name", "id", "id")
+    names = R.name_to_id(_with_text(spark, sf), "official_name", "id", "id")
     return R.map_report(X.raw_pairs(spark, sf), "name_1", "name_2", names)
 
 

@@ -12,9 +12,10 @@ from pairlab.operators import sampling as N
 from pairlab.operators import similarity as S
 from pairlab.operators import translation as Z
 from pairlab.operators.rows import canonical_pair
+from pairlab.operators.split import cross_split_drop
 from pairlab.plans.registry import query
 from pairlab.plans.retrieval import evaluate
-from pairlab.plans.retrieval_queries import METRIC_COLS, r6
+from pairlab.plans.retrieval_queries import METRIC_COLS, r6, splits
 from pairlab.plans.sampling_queries import NUM_SQL, TRIPLET_SQL, _directed
 from pairlab.session import truncate_lineage
 from pairlab.sources import fixtures as X
@@ -214,9 +215,10 @@ def all_pairs(spark, sf):
 
 def _turns(spark, sf):
     c = readers.read_table(spark, sf, "conversations")
-    seqs = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.valid_residues("text").alias("seq"))
+    key = lambda turn: F.struct("conv_id", turn.alias("turn"))
+    seqs = c.select(key(F.col("turn")).alias("id"), T.valid_residues("text").alias("seq"))
     ids = seqs.select(F.col("id").alias("b"))
-    pairs = seqs.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).join(ids, "b", "left_semi")
+    pairs = c.select(key(F.col("turn")).alias("a"), key(F.col("turn") + 1).alias("b")).join(ids, "b", "left_semi")
     return seqs, pairs.select("a", "b")
 
 
@@ -224,7 +226,8 @@ def _turns(spark, sf):
 def alignment_scores(spark, sf):
     """Consecutive turns of every conversation, whole texts."""
     seqs, pairs = _turns(spark, sf)
-    return A.alignment_scores(pairs, "a", "b", seqs)
+    found = A.alignment_scores(pairs, "a", "b", seqs)
+    return found.select("id_a.conv_id", F.col("id_a.turn").alias("turn"), "identity", "score")
 
 
 @query("alignment_summary")
@@ -235,8 +238,9 @@ def alignment_summary(spark, sf):
 
 @query("embedding_translation")
 def embedding_translation(spark, sf):
-    """Ridge map fitted on all directed pairs, then ranks by cosine to the predicted partner."""
+    """Ridge map fitted on the train components; the held-out pairs rank their partner by cosine to the predicted vector."""
     gold, v = X.gold(spark, sf), X.vectors(spark, sf)
-    w = Z.fit_translation(K.directed_examples(gold), v)
-    q = K.bidirectional_queries(gold)
-    return r6(K.hits_mrr(Z.rank_translated(q, v, w)), *METRIC_COLS)
+    sp = truncate_lineage(splits(spark, sf))
+    train, test = (cross_split_drop(gold, "id_1", "id_2", sp).filter(F.col("split") == k).drop("split") for k in ("train", "test"))
+    w = Z.fit_translation(K.directed_examples(train), v)
+    return r6(K.hits_mrr(Z.rank_translated(K.bidirectional_queries(test), v, w)), *METRIC_COLS)

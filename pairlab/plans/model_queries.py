@@ -13,7 +13,10 @@ from pairlab.operators import resolve as R
 from pairlab.operators import sampling as N
 from pairlab.operators import similarity as S
 from pairlab.operators.rows import canonical_pair
-from pairlab.operators.split import cross_split_drop
+from pairlab.operators import reports as P
+from pairlab.operators.graph import connected_components
+from pairlab.operators.split import cross_split_drop, split_kfold, split_train_test
+from pairlab.plans.crossval import cross_validate
 from pairlab.plans.registry import query
 from pairlab.plans.retrieval_queries import METRIC_COLS, r6
 from pairlab.plans.training import prepare
@@ -21,9 +24,6 @@ from pairlab.session import truncate_lineage
 from pairlab.sources import fixtures as X
 from pairlab.sources.fixtures import ctes
 
-_prepared: dict = {}
-
-
 def planted(spark, sf):
     """Each entity with its nearest neighbour: pairs that the vectors do explain."""
     v = X.vectors(spark, sf)
@@ -36,12 +36,8 @@ def planted(spark, sf):
 
 
 def _ready(spark, sf, **options):
-    """Prepared rows, kept per session and options: several queries fit on the same table."""
-    key = (spark.sparkContext.applicationId, sf, *sorted((k, str(v)) for k, v in options.items()))
-    if key not in _prepared:
-        positives = truncate_lineage(planted(spark, sf))
-        _prepared[key] = prepare(positives, X.vectors(spark, sf), **options)
-    return _prepared[key]
+    """Prepared rows of the planted pairs."""
+    return prepare(truncate_lineage(planted(spark, sf)), X.vectors(spark, sf), **options)
 
 
 def _scored_test(model, data):
@@ -86,38 +82,23 @@ def _extend(spark, sf):
 
     def extend(rows):
         d = S.cosine_pairs(rows, "id_a", "id_b", v, "euclidean", "_near").withColumn("distance", -F.col("_near")).drop("_near")
-        fam = v.select("id", "family")
         near = v.select("id", F.explode(F.array(F.col("id") + 1, F.col("id") + 2)).alias("other")).join(
             v.select(F.col("id").alias("other")), "other", "left_semi"
         )
         listed = S.cosine_pairs(near.select(F.col("id").alias("id_a"), F.col("other").alias("id_b")), "id_a", "id_b", v, out="partial")
         d = R.score_lookup(d, "id_a", "id_b", listed, ["partial"], default=0.0)
-        d = d.join(fam.withColumnsRenamed({"id": "id_a", "family": "_fa"}), "id_a").join(fam.withColumnsRenamed({"id": "id_b", "family": "_fb"}), "id_b")
-        return d.withColumn("same_family", H.same_family_flag("_fa", "_fb")).drop("_fa", "_fb")
+        return d
 
     return extend
 
 
 @query("rf_pairs_extended")
 def rf_pairs_extended(spark, sf):
-    """With a distance, a partial score table (missing = 0) and the family flag."""
-    data = _ready(spark, sf, extend=_Named("extended", _extend(spark, sf)), extra=("distance", "partial", "same_family"))
+    """With a distance and a partial score table (missing = 0). The family flag nearly is the label and stays out."""
+    data = _ready(spark, sf, extend=_extend(spark, sf), extra=("distance", "partial"))
     return _metrics(truncate_lineage(_scored_test(C.fit_forest(data.part("train")), data)))
 
 
-class _Named:
-    """A row extension with a stable name, so prepared tables can be found again."""
-
-    def __init__(self, name, fn):
-        self.name, self.fn = name, fn
-
-    def __call__(self, rows):
-        return self.fn(rows)
-
-    def __str__(self):
-        return self.name
-
-
 @query("rf_pairs_hardneg")
 def rf_pairs_hardneg(spark, sf):
     data = _ready(spark, sf, hard=True)
@@ -138,15 +119,18 @@ def mlp_pairs(spark, sf):
 
 @query("mlp_pairs_evidence")
 def mlp_pairs_evidence(spark, sf):
-    """Class weight times evidence weight, on the pairs that carry evidence."""
+    """Class weight times evidence weight, on the pairs that carry evidence; held-out metrics."""
     v, gold = X.vectors(spark, sf), X.gold(spark, sf)
     known = canonical_pair(gold, "id_1", "id_2").select("id_a", "id_b").distinct()
     pos = gold.select(F.col("id_1").alias("id_a"), F.col("id_2").alias("id_b"), F.lit(1).alias("label"), bucket_weight(evidence_bucket("evidence_level")).alias("weight"))
     neg = N.neg_uniform(v, known, {"all": N.NEGATIVES_PER_POSITIVE * gold.count()}).select("id_a", "id_b", F.lit(0).alias("label"), F.lit(1.0).alias("weight"))
-    rows = C.with_balanced_weight(pos.unionByName(neg), times="weight")
-    train = truncate_lineage(H.feature_matrix(rows, "id_a", "id_b", v))
+    splits = truncate_lineage(split_train_test(connected_components(gold, "id_1", "id_2", v)))
+    rows = cross_split_drop(pos.unionByName(neg), "id_a", "id_b", splits)
+    rows = truncate_lineage(rows.select("id_a", "id_b", "label", "weight", "split"))
+    train = truncate_lineage(H.feature_matrix(C.with_balanced_weight(rows.filter("split = 'train'"), times="weight"), "id_a", "id_b", v))
     model = C.fit_mlp(train, "class_weight", ["id_a", "id_b"])
-    return _metrics(truncate_lineage(C.predict(model, train.select("id_a", "id_b", "label", "features")).drop("features")))
+    test = H.feature_matrix(rows.filter("split = 'test'"), "id_a", "id_b", v)
+    return _metrics(truncate_lineage(C.predict(model, test.select("id_a", "id_b", "label", "features")).drop("features")))
 
 
 def _bags(spark, sf, bags):
@@ -170,7 +154,7 @@ def pu_bagging(spark, sf):
 @query("feature_importance")
 def feature_importance(spark, sf):
     data = _ready(spark, sf)
-    model = C.fit_forest(data.part("train"), numTrees=100)
+    model = C.fit_forest(data.part("train"))
     dim = model.numFeatures - 1
     return C.feature_importance(spark, model, [*[f"abs_diff_{i}" for i in range(dim)], "cosine"])
 
@@ -180,9 +164,19 @@ def score_candidates(spark, sf):
     """Model and cosine ranks of the held-out partners among all entities, on the same queries."""
     data, v = _ready(spark, sf), X.vectors(spark, sf)
     q = truncate_lineage(_test_queries(data))
-    by_model = C.rank_by_model(C.fit_forest(data.part("train"), numTrees=100), q, v)
+    by_model = C.rank_by_model(C.fit_forest(data.part("train")), q, v)
     by_cosine = S.rank_targets(q, v)
     both = K.hits_mrr(by_model).withColumn("method", F.lit("forest")).unionByName(
         K.hits_mrr(by_cosine).withColumn("method", F.lit("cosine"))
     )
     return r6(both, *METRIC_COLS)
+
+
+@query("kfold_models")
+def kfold_models(spark, sf):
+    """Per fold of whole components: a forest fitted without it, and the cosine, ranking all entities for its queries."""
+    v = X.vectors(spark, sf)
+    positives = truncate_lineage(planted(spark, sf))
+    folds = truncate_lineage(split_kfold(connected_components(positives, "id_1", "id_2", v)).select("id", "fold"))
+    ranked = cross_validate(positives, v, folds, {"forest": C.fit_forest})
+    return r6(P.fold_table(ranked, ["cosine", "forest"]).select("fold", "n_queries", "cosine_mrr", "forest_mrr"), "cosine_mrr", "forest_mrr")

@@ -321,22 +321,6 @@ def _near(spark, sf):
     return scored.drop("target_id"), q
 
 
-def _rank_case(score, name):
-    return f"1 + count(*) filter (c.id <> t.id and (c.{score} > t.{score} or (c.{score} = t.{score} and c.id < t.id))) as {name}"
-
-
-_OWN = "from near t join near c using (pair_id, direction, query_id) where t.id = t.target_id group by all"
-
-
-@query(
-    "two_method_retrieval",
-    ctes("gold", "vectors", extra=f"{Q_SQL}, {NEAR}") + f"select pair_id, direction, query_id, t.target_id, {_rank_case('cosine', 'cosine_rank')}, {_rank_case('weighted', 'weighted_rank')} {_OWN}",
-)
-def two_method_retrieval(spark, sf):
-    scores, q = _near(spark, sf)
-    return K.two_method_ranks(scores, q, ["cosine", "weighted"], GROUP)
-
-
 @query(
     "minmax_average",
     ctes("gold", "vectors", extra=f"{Q_SQL}, {NEAR}") + """select pair_id, direction, query_id, id, round(((cosine - min(cosine) over g) / (max(cosine) over g - min(cosine) over g + 1e-12)
@@ -394,6 +378,15 @@ PAIRED = BOTH_RANKS + """, paired as (select r.pair_id, r.direction, r.query_id,
     from r join rw using (pair_id, direction, query_id))"""
 
 
+@query(
+    "two_method_retrieval",
+    ctes("gold", "vectors", extra=PAIRED) + "select pair_id, direction, query_id, target_id, cosine_rank, weighted_rank from paired",
+)
+def two_method_retrieval(spark, sf):
+    """Both methods rank the target among all entities."""
+    return _paired(spark, sf).select("pair_id", "direction", "query_id", "target_id", "cosine_rank", "weighted_rank")
+
+
 @query(
     "run_consistency",
     ctes("gold", "vectors", extra=BOTH_RANKS) + """select (select count(*) from r) as n_a, (select count(*) from rw) as n_b, count(*) as n_matched,
@@ -437,11 +430,14 @@ def score_lookup_default(spark, sf):
 
 @query(
     "symmetrize_scores",
-    ctes("vectors", extra=PARTIAL) + """select id_a, id_b, round(s, 6) as s from partial union all select id_b, id_a, round(s, 6) from partial union all select id, id, 1.0 from vectors""",
+    ctes("vectors", extra="near as (select a.id as id_a, b.id as id_b, list_cosine_similarity(a.v, b.v) as s from vectors a join vectors b on b.id in (a.id + 1, a.id + 2))")
+    + "select id_a, id_b, round(s, 6) as s from near union all select id_b, id_a, round(s, 6) from near union all select id, id, 1.0 from vectors",
 )
 def symmetrize_scores(spark, sf):
-    own = X.vectors(spark, sf).select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("s"))
-    return r6(R.symmetrize_scores(_partial(spark, sf), ["s"], own), "s")
+    v = X.vectors(spark, sf)
+    own = v.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("s"))
+    pairs = v.select(F.col("id").alias("id_a"), F.explode(F.array(F.col("id") + 1, F.col("id") + 2)).alias("id_b"))
+    return r6(R.symmetrize_scores(S.cosine_pairs(pairs, "id_a", "id_b", v, out="s"), ["s"], own), "s")
 
 
 @query(

@@ -78,7 +78,7 @@ def dirty_catalogue(spark: SparkSession, sf: str) -> DataFrame:
 
 def enrichment(spark: SparkSession, sf: str) -> DataFrame:
     """Several rows per name; the first by ``ord`` wins."""
-    part = read_table(spark, sf, "part").filter(F.col("p_type").isin("PROMO", "LARGE", "SMALL"))
+    part = read_table(spark, sf, "part")
     return part.select(
         F.concat_ws(" ", "p_brand", "p_name").alias("match_name"),
         F.col("p_type").alias("grp"),
@@ -193,7 +193,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "enrichment": (
         (),
         """select p_brand || ' ' || p_name as match_name, p_type as grp, 'size ' || cast(p_size as varchar) as reference, p_partkey as ord
-            from part where p_type in ('PROMO', 'LARGE', 'SMALL')""",
+            from part""",
     ),
     "names": (
         ("catalogue",),
