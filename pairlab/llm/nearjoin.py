@@ -37,7 +37,7 @@ from pairlab.session import truncate_lineage
 WORDS = 5
 MARGIN = 1.15
 FREQUENT = 16
-SKETCH = 256
+SKETCH = 64  # least number of classes
 BLOCK = 512
 SLICE_BYTES = 2 << 20
 RANGES = 8  # ranges of parts that a band's signatures are dealt to
@@ -92,11 +92,22 @@ def set_ids(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return mix(mix(_sums(mix(value ^ SALT[1]), offsets) + size) ^ _sums(mix(value ^ SALT[2]), offsets)).view(np.int64)
 
 
-def sketches(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many shingles of each set fall into each of ``SKETCH`` classes, 255 at most."""
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    at = rows * SKETCH + (mix(value ^ SALT[3]) >> np.uint64(32)).astype(np.int64) % SKETCH
-    return np.minimum(np.bincount(at, minlength=(len(offsets) - 1) * SKETCH), 255).astype(np.uint8).reshape(-1, SKETCH)
+def sketches(value: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """How many shingles of each set fall into each of its classes, 255 at most.
+
+    A set has a power of two of classes, one for two shingles at least; a longer sketch
+    folds into a shorter one.
+    """
+    size = np.diff(offsets)
+    width = 1 << np.ceil(np.log2(np.maximum(size / 2, SKETCH))).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(width)])
+    at = np.repeat(base[:-1], size) + ((mix(value ^ SALT[3]) >> np.uint64(32)).astype(np.int64) & np.repeat(width - 1, size))
+    count = np.minimum(np.bincount(at, minlength=base[-1]), 255).astype(np.uint8)
+    return [count[x:y].tobytes() for x, y in zip(base[:-1], base[1:], strict=True)]
+
+
+def fold(sketch: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(sketch, np.uint8).reshape(-1, width).sum(0, dtype=np.int32)
 
 
 class Band:
@@ -156,8 +167,7 @@ def describe(docs: DataFrame, text: str) -> DataFrame:
             for b in slices(whole, text, SLICE_BYTES):
                 value, offsets = shingle_sets(b, text)
                 n = np.diff(offsets)
-                sk = [x.tobytes() for x in sketches(value, offsets)]
-                cols = [pa.array(n), pa.array(set_ids(value, offsets), mask=n == 0), pa.array(sk, pa.binary())]
+                cols = [pa.array(n), pa.array(set_ids(value, offsets), mask=n == 0), pa.array(sketches(value, offsets), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *cols], [*keep, "n_shingles", "set_id", "sketch"])
 
     return docs.mapInArrow(run, schema)
@@ -279,13 +289,14 @@ def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     coarse = coarse.join(sketch, F.col("b") == F.col("k")).drop("k").withColumnRenamed("sketch", "y")
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                b = whole.slice(at, 4096)
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("x", "y"))
-                n = b.column("sa").to_numpy().astype(np.int64) + b.column("sb").to_numpy()
-                ok = pa.array(7 * np.abs(x - y).sum(1) <= n)
-                yield b.select(["a", "b", "sa", "sb"]).filter(ok)
+        for b in batches:
+            n = (b.column("sa").to_numpy().astype(np.int64) + b.column("sb").to_numpy()).tolist()
+            ok = []
+            for x, y, limit in zip(b.column("x"), b.column("y"), n, strict=True):
+                x, y = x.as_buffer(), y.as_buffer()
+                width = min(x.size, y.size)
+                ok.append(7 * int(np.abs(fold(x, width) - fold(y, width)).sum()) <= limit)
+            yield b.select(["a", "b", "sa", "sb"]).filter(pa.array(ok, pa.bool_()))
 
     return truncate_lineage(coarse.mapInArrow(differ, "a bigint, b bigint, sa int, sb int"))
 
@@ -354,7 +365,8 @@ def _block_pairs(members: DataFrame) -> DataFrame:
         p, q = part["p"].iloc[0], part["q"].iloc[0]
         left = part[part["at"] == p]
         right = part[part["at"] == q]
-        x, y = (np.frombuffer(b"".join(s["sketch"]), np.uint8).reshape(-1, SKETCH).astype(np.int16) for s in (left, right))
+        width = int(part["sketch"].map(len).min())
+        x, y = (np.array([fold(k, width) for k in s["sketch"]]).reshape(-1, width) for s in (left, right))
         sx, sy = (s["size"].to_numpy(np.int64) for s in (left, right))
         ix, iy, cx, cy = (s[c].to_numpy(np.int64) for c in ("set_id", "component") for s in (left, right))
         out = [_pair_rows(*[np.zeros(0, np.int64)] * 4)]
