@@ -37,6 +37,7 @@ from pairlab.session import truncate_lineage
 LENGTH, LEAD = 200, 48
 SLICE_BYTES = 1 << 20
 CHUNK_WINDOWS = 500_000  # windows sorted at once
+BROADCAST_CONTEXTS = 1_000_000  # places of contexts, about 50 bytes each
 CROWDED_WINDOWS = 500_000  # leads with more windows than that are compared across buckets
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -149,6 +150,8 @@ CONTEXTS = "h bigint, copies bigint, _row bigint, start int, n int, bytes binary
 def _contexts(docs: DataFrame, wanted: DataFrame, text: str, length: int) -> DataFrame:
     """The bytes of the contexts in ``wanted`` (h, copies, _row, start, n)."""
     by_row = wanted.groupBy("_row").agg(F.collect_list(F.struct("h", "copies", "start", "n")).alias("c"))  # of one document
+    if wanted.count() <= BROADCAST_CONTEXTS:  # else the texts are shuffled to them
+        by_row = F.broadcast(by_row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in CONTEXTS.split(", ")]
@@ -252,11 +255,11 @@ def repeated(docs: DataFrame, text: str, length: int = LENGTH, lead: int = LEAD)
     windows = contexts.groupBy("h").agg(F.sum("one.n").alias("w"))
     crowded = windows.filter(F.col("w") > CROWDED_WINDOWS).select("h")
     wanted = contexts.select("h", "copies", "one.*")
-    named = wanted.join(crowded.withColumn("crowded", F.lit(True)), "h", "left")
-    texts = truncate_lineage(_contexts(docs, wanted, text, length))
-    if named.filter("crowded").isEmpty():
+    texts = _contexts(docs, wanted, text, length)
+    if crowded.isEmpty():
         parts.append(_sorted_buckets(texts, length))
     else:
+        texts = truncate_lineage(texts)
         parts.append(_sorted_buckets(texts.join(crowded, "h", "left_anti"), length))
         parts.append(_across_buckets(texts.join(crowded, "h"), length))
     every = reduce(DataFrame.unionByName, parts)
