@@ -75,43 +75,61 @@ def align_batch(a: list[str], b: list[str], matrix: np.ndarray) -> tuple[np.ndar
     if la + lb >= IDENTICAL:
         raise ValueError(f"texts of {la} and {lb} letters are too long for one path state")
     # a column of residues x, y adds this much to a path
-    step = matrix * SCORE + np.eye(len(matrix), dtype=np.int64) * IDENTICAL + COLUMN
+    step = (matrix * SCORE + np.eye(len(matrix), dtype=np.int64) * IDENTICAL + COLUMN).ravel()
     open_gap, extend_gap, none = OPEN_GAP * SCORE + COLUMN, EXTEND_GAP * SCORE + COLUMN, -(1 << 62)
-    # position i of diagonal d is the cell (i, d - i); row 0 and column 0 are borders
-    h1, h2 = np.zeros((2, n, la + 1), dtype=np.int64)
-    e1, f1 = np.full((2, n, la + 1), none, dtype=np.int64)
+    rows, cols = np.ascontiguousarray(ca.T * len(matrix)), np.ascontiguousarray(cb.T[::-1])
+    # position i of diagonal d is the cell (i, d - i); row 0 and column 0 are borders. A diagonal only
+    # reads what the two before it wrote, so three buffers take turns and nothing is cleared.
+    h2, h1, h0 = np.zeros((3, la + 1, n), dtype=np.int64)
+    e, f = np.full((2, la + 1, n), none, dtype=np.int64)
+    pick, x, y = np.empty((3, la, n), dtype=np.int64)
+    low = np.empty((la, n), dtype=bool)
     best = np.zeros(n, dtype=np.int64)
     for d in range(2, la + lb + 1):
         lo, hi = max(1, d - lb), min(la, d - 1)
-        at, up = slice(lo, hi + 1), slice(lo - 1, hi)
-        x, y = ca[:, lo - 1 : hi], cb[:, d - hi - 1 : d - lo][:, ::-1]
-        e = np.maximum(h1[:, at] + open_gap, e1[:, at] + extend_gap)
-        f = np.maximum(h1[:, up] + open_gap, f1[:, up] + extend_gap)
-        h = np.maximum(np.maximum(h2[:, up] + step[x, y], e), f)
-        h[h < SCORE] = 0
-        np.maximum(best, h.max(axis=1), out=best)
-        h0, e0, f0 = np.zeros_like(h1), np.full_like(e1, none), np.full_like(f1, none)
-        h0[:, at], e0[:, at], f0[:, at] = h, e, f
-        h2, h1, e1, f1 = h1, h0, e0, f0
+        m, at, up = hi - lo + 1, slice(lo, hi + 1), slice(lo - 1, hi)
+        h, left, over = h0[at], e[at], f[at]
+        np.add(rows[up], cols[lb - d + lo : lb - d + hi + 1], out=pick[:m])
+        np.take(step, pick[:m], out=h, mode="clip")
+        np.add(h, h2[up], out=h)
+        np.add(h1[up], open_gap, out=x[:m])
+        np.add(f[up], extend_gap, out=y[:m])
+        np.maximum(x[:m], y[:m], out=over)
+        np.add(h1[at], open_gap, out=x[:m])
+        np.add(left, extend_gap, out=left)
+        np.maximum(left, x[:m], out=left)
+        np.maximum(h, left, out=h)
+        np.maximum(h, over, out=h)
+        np.less(h, SCORE, out=low[:m])
+        np.copyto(h, 0, where=low[:m])
+        np.maximum(best, h.max(axis=0), out=best)
+        h2, h1, h0 = h1, h0, h2
     columns = best % IDENTICAL
     same = best // IDENTICAL % IDENTICAL
     return np.where(columns > 0, 100.0 * same / np.maximum(columns, 1), 0.0), (best // SCORE).astype(float)
 
 
 def align_all(a: list[str], b: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of similar size are aligned together, a bounded number of cells at a time."""
-    order = np.lexsort((list(map(len, b)), list(map(len, a))))
+    """Pairs of similar size are aligned together, a bounded number of cells at a time; the shorter text leads."""
+    size = np.array([list(map(len, a)), list(map(len, b))]).reshape(2, -1)
+    short, long = size.min(0), size.max(0)
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]
+    order = np.lexsort((long, np.ceil(np.log(short + 1.0) / np.log(1.2))))
     identity, score = np.zeros(len(a)), np.zeros(len(a))
     start = 0
     while start < len(order):
-        width = len(a[order[start]]) + 1
-        end = start + 1
-        while end < len(order) and (end - start + 1) * 9 * (len(a[order[end]]) + 1) <= BATCH_CELLS:
-            if len(a[order[end]]) > 1.25 * width + 16:
+        first = order[start]
+        end, widest = start + 1, short[first]
+        while end < len(order):
+            k = order[end]
+            grown = max(widest, short[k])
+            if grown > 1.2 * short[first] + 16 or long[k] > 1.2 * long[first] + 16 or short[k] < short[first] / 1.2 - 16:
                 break
-            end += 1
+            if (end - start + 1) * 9 * (grown + 1) > BATCH_CELLS:
+                break
+            end, widest = end + 1, grown
         rows = order[start:end]
-        identity[rows], score[rows] = align_batch([a[r] for r in rows], [b[r] for r in rows], matrix)
+        identity[rows], score[rows] = align_batch([pairs[r][0] for r in rows], [pairs[r][1] for r in rows], matrix)
         start = end
     return identity, score
 
