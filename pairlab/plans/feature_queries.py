@@ -13,6 +13,7 @@ from pairlab.operators import similarity as S
 from pairlab.operators import translation as Z
 from pairlab.operators.rows import canonical_pair
 from pairlab.operators.split import cross_split_drop
+from pairlab.plans.catalogue_queries import VALID_SQL
 from pairlab.plans.registry import query
 from pairlab.plans.retrieval import evaluate
 from pairlab.plans.retrieval_queries import METRIC_COLS, r6, splits
@@ -230,6 +231,26 @@ def alignment_scores(spark, sf):
     return found.select("id_a.conv_id", F.col("id_a.turn").alias("turn"), "identity", "score")
 
 
+_DIAGONAL = " + ".join(
+    f"{A.scoring_matrix()[i, i]} * (length(seq) - length(replace(seq, '{c}', '')))" for i, c in enumerate(A.BLOSUM_LETTERS)
+)
+
+
+@query(
+    "alignment_self",
+    f"""select conv_id, turn, case when seq = '' then 0.0 else 100.0 end as identity, cast({_DIAGONAL} as double) as score
+        from (select conv_id, turn, {VALID_SQL.format(c='text')} as seq from conversations)""",
+)
+def alignment_self(spark, sf):
+    """Every turn against its own copy: all columns identical, the score is the sum of the diagonal."""
+    c = readers.read_table(spark, sf, "conversations")
+    both = c.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    seqs = both.select(F.struct("conv_id", "turn", "side").alias("id"), T.valid_residues("text").alias("seq"))
+    pairs = c.select(F.struct("conv_id", "turn", F.lit(0).alias("side")).alias("a"), F.struct("conv_id", "turn", F.lit(1).alias("side")).alias("b"))
+    found = A.alignment_scores(pairs, "a", "b", seqs)
+    return found.select("id_a.conv_id", "id_a.turn", "identity", "score")
+
+
 @query("alignment_summary")
 def alignment_summary(spark, sf):
     seqs, pairs = _turns(spark, sf)

@@ -56,7 +56,19 @@ def neg_uniform(spark, sf):
     return N.neg_uniform(pool, positives, wanted, SEED).select("id_a", "id_b")
 
 
-@query("neg_uniform_by_split")
+@query(
+    "neg_uniform_by_split",
+    ctes("vectors", "gold", extra=SPLIT_SQL + f""", num as (select id, split, row_number() over (partition by split order by md5('pool|' || id), id) as idx,
+            count(*) over (partition by split) as m from sp),
+        known as (select distinct least(id_1, id_2) as id_a, greatest(id_1, id_2) as id_b from gold),
+        need as (select split, 10 * count(*) as want from known join sp on sp.id = id_a group by 1),
+        dr as (select split, draw, want, {two("'uniform|' || split", 'draw', 'm')} from (select distinct split, m from num) join need using (split),
+            lateral (select unnest(range(3 * want + 2000)) as draw)),
+        dp as (select d.split, draw, want, least(a.id, b.id) as id_a, greatest(a.id, b.id) as id_b
+            from dr d join num a on a.split = d.split and a.idx = i join num b on b.split = d.split and b.idx = j)""")
+    + """select split, id_a, id_b from (select split, id_a, id_b, want, row_number() over (partition by split order by min(draw)) as rn
+        from dp where not exists (select 1 from known k where k.id_a = dp.id_a and k.id_b = dp.id_b) group by split, id_a, id_b, want) where rn <= want""",
+)
 def neg_uniform_by_split(spark, sf):
     """Ends from the split's own pool, one plan for all splits."""
     _, _, positives = _inputs(spark, sf)
