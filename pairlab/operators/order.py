@@ -7,6 +7,7 @@ buckets; sums per bucket are small, and the window runs inside one bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from pairlab.functions.hashing import hash_key
 from pairlab.session import task_count
 
-HASH_DIGITS = 3  # 4,096 hash buckets
-MAX_VALUE_BUCKETS = 1024
+LEAST_HASH_DIGITS = 3  # 4,096 hash buckets; more with more tasks
+MAX_VALUE_BUCKETS = 4096
 
 
 def _offsets(df: DataFrame, group: Sequence[str], sums: dict[str, Column]) -> DataFrame:
@@ -47,7 +48,9 @@ def running_by_hash(
     group over thousands of buckets.
     """
     hk = hash_key(seed, *[F.col(c) for c in key_cols])
-    keyed = df.withColumn("_hk", hk).withColumn("_bucket", F.substring("_hk", 1, HASH_DIGITS))
+    # a few buckets for each task of the cluster, so a bucket does not grow with the table
+    digits = max(LEAST_HASH_DIGITS, math.ceil(math.log(4 * task_count(df.sparkSession), 16)))
+    keyed = df.withColumn("_hk", hk).withColumn("_bucket", F.substring("_hk", 1, digits))
     total = F.col(value) if isinstance(value, str) else value
     return _running(keyed, list(group), ["_hk", *key_cols], {out: total}).select(*df.columns, out)
 
@@ -100,7 +103,8 @@ def take_first(
     df: DataFrame, order: Column, span: Column, n: Column, group: Sequence[str] = (), ties: Sequence[str] = ()
 ) -> DataFrame:
     """The ``n`` rows of each group with the smallest integer ``order`` in [0, ``span``)."""
-    bucket = F.floor(order * 1024 / F.greatest(span, F.lit(1)))
+    # at most the number of buckets that running_by_value takes
+    bucket = F.floor(order.cast("double") * MAX_VALUE_BUCKETS / F.greatest(span, F.lit(1)))
     placed = df.withColumns({"_ord": order, "_bucket": bucket, "_n": n})
     ranked = _running(placed, list(group), ["_ord", *ties], {"_pos": F.lit(1)})
     return ranked.filter(F.col("_pos") <= F.col("_n")).select(*df.columns)

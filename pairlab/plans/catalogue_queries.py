@@ -32,7 +32,7 @@ def read_dirty_csv(spark, sf):
     raw = X.dirty_catalogue(spark, sf).select("AllergenID", "IsoName", "Name", "Common")
     path = scratch_path(spark, "dirty-csv")
     writers.write_table(raw.toDF(*[f"{T.NBSP}{c} " for c in raw.columns]), path, "csv")
-    back = readers.read_dirty_csv(spark, path)
+    back = readers.read_dirty_csv(spark, path, multi_line=True)
     return back.select("AllergenID", *[T.clean_text(c).alias(c) for c in ("IsoName", "Name", "Common")])
 
 

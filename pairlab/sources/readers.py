@@ -18,12 +18,13 @@ def clean_header(name: str) -> str:
     return name.replace(NBSP, " ").strip()
 
 
-def read_dirty_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_dirty_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
     """CSV catalogue; non-breaking and outer spaces are stripped from the header names.
 
     Without ``schema`` every column is read as text, so the file is scanned once.
+    ``multi_line`` allows line breaks inside quoted fields; a file then is one task.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     df = (reader.schema(schema) if schema else reader).csv(path)
     return df.toDF(*[clean_header(c) for c in df.columns])
 
