@@ -8,11 +8,11 @@ fewest signatures for this threshold). A set just above a band's end also signs
 band below.
 
 A band has more parts than needed (``MARGIN``): similar sets agree on several, so a set may
-leave out some signatures without losing a partner. It leaves out empty parts and those
-that more than ``FREQUENT`` sets share (passages that many documents have). A set that has
-more frequent signatures than it may leave out is heavy: first it is held against the
-smallest heavy set of each of its frequent signatures; where that leaves a signature with
-several components, the members are compared in blocks. No group is cut, and all its pairs
+leave out some signatures without losing a partner. It leaves out empty parts and then,
+most frequent first, those that more than ``FREQUENT`` sets share (passages that many
+documents have). The frequent signatures that it must keep: first it is held against the
+smallest other set that keeps the signature; where that leaves a signature with several
+components, the members are compared in blocks. No group is cut, and all its pairs
 are only looked at where its members are neither alike nor told apart before.
 
 Equal sets are one set throughout. Candidates are dropped when coarse counts of their
@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlab.llm.kernels import lower_table, mix, slices, text_bytes, without, word_hashes, word_spans
@@ -367,12 +368,14 @@ def _block_pairs(members: DataFrame) -> DataFrame:
         right = part[part["at"] == q]
         width = int(part["sketch"].map(len).min())
         x, y = (np.array([fold(k, width) for k in s["sketch"]]).reshape(-1, width) for s in (left, right))
+        x0, y0 = (k.reshape(-1, width // SKETCH, SKETCH).sum(1) for k in (x, y))
         sx, sy = (s["size"].to_numpy(np.int64) for s in (left, right))
         ix, iy, cx, cy = (s[c].to_numpy(np.int64) for c in ("set_id", "component") for s in (left, right))
         out = [_pair_rows(*[np.zeros(0, np.int64)] * 4)]
         for i in range(len(left)):
             ok = (cy != cx[i]) & (7 * np.abs(sy - sx[i]) <= sy + sx[i])
-            ok[ok] = 7 * np.abs(y[ok] - x[i]).sum(1) <= sy[ok] + sx[i]
+            for u, v in ((x0, y0), (x, y)):  # a coarse count first
+                ok[ok] = 7 * np.abs(v[ok] - u[i]).sum(1) <= sy[ok] + sx[i]
             k = np.flatnonzero(ok)
             out.append(_pair_rows(np.full(len(k), ix[i]), iy[k], np.full(len(k), sx[i]), sy[k]))
         found = pd.concat(out).drop_duplicates()
@@ -398,8 +401,12 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = truncate_lineage(packed.groupBy("bucket", "lot").applyInPandas(_bucket_pairs(frequent, splits), PAIRS))
     first = found.filter("a is not null").select("a", "b", "sa", "sb").distinct()
     hot = found.filter("sig is not null").select("sig", "set_id", "size", "spare", "band").distinct()
-    heavy = hot.groupBy("set_id", "band").agg(F.count("*").alias("n"), F.min("spare").alias("s")).filter("n > s").select("set_id", "band")
-    members = truncate_lineage(hot.join(heavy, ["set_id", "band"]).select("sig", "set_id", "size"))
+    # a set leaves out its most frequent signatures first; which ones follows from one order for all sets,
+    # so of two similar sets both keep the rarest signature that they share
+    often = hot.groupBy("sig").agg(F.count("*").alias("n"))
+    order = W.partitionBy("set_id", "band").orderBy(F.desc("n"), "sig")  # the signatures of one set
+    ranked = hot.join(often, "sig").withColumn("k", F.row_number().over(order))
+    members = truncate_lineage(ranked.filter("k > spare").select("sig", "set_id", "size"))
     pivot = members.groupBy("sig").agg(F.min(F.struct("set_id", "size")).alias("p"))
     star = members.join(pivot, "sig").filter("set_id <> p.set_id and 7 * abs(size - p.size) <= size + p.size")
     star = star.select(F.col("p.set_id").alias("a"), F.col("set_id").alias("b"), F.col("p.size").alias("sa"), F.col("size").alias("sb"))

@@ -37,7 +37,7 @@ from pairlab.session import truncate_lineage
 LENGTH, LEAD = 200, 48
 SLICE_BYTES = 1 << 20
 CHUNK_WINDOWS = 500_000  # windows sorted at once
-BROADCAST_CONTEXTS = 1_000_000  # places of contexts, about 50 bytes each
+BROADCAST_CONTEXTS = 1_000_000  # places of contexts, about 120 bytes each
 CROWDED_WINDOWS = 500_000  # leads with more windows than that are compared across buckets
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
