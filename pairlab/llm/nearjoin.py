@@ -406,7 +406,13 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     often = hot.groupBy("sig").agg(F.count("*").alias("n"))
     order = W.partitionBy("set_id", "band").orderBy(F.desc("n"), "sig")  # the signatures of one set
     ranked = hot.join(often, "sig").withColumn("k", F.row_number().over(order))
-    members = truncate_lineage(ranked.filter("k > spare").select("sig", "set_id", "size"))
+    kept = truncate_lineage(ranked.filter("k > spare").select("sig", "set_id", "size"))
+    # close copies share hundreds of signatures: one signature stands for all with the same members
+    alike = kept.groupBy("sig").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(7))).alias("y")
+    )
+    alone = alike.filter("n > 1").groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    members = truncate_lineage(kept.join(alone, "sig"))
     pivot = members.groupBy("sig").agg(F.min(F.struct("set_id", "size")).alias("p"))
     star = members.join(pivot, "sig").filter("set_id <> p.set_id and 7 * abs(size - p.size) <= size + p.size")
     star = star.select(F.col("p.set_id").alias("a"), F.col("set_id").alias("b"), F.col("p.size").alias("sa"), F.col("size").alias("sb"))
