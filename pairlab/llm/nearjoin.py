@@ -8,9 +8,10 @@ fewest signatures for this threshold). A set just above a band's end also signs
 band below.
 
 A band has more parts than needed (``MARGIN``): similar sets agree on several, so a set may
-leave out some signatures without losing a partner. It leaves out empty parts and then,
-most frequent first, those that more than ``FREQUENT`` sets share (passages that many
-documents have). The frequent signatures that it must keep: first it is held against the
+leave out some signatures without losing a partner. All sets leave out in one order: empty
+parts by number and then, most frequent first, the signatures that more than ``FREQUENT``
+sets share (passages that many documents have), so the last one in this order that two
+similar sets share is kept by both. The frequent signatures that it must keep: first it is held against the
 smallest other set that keeps the signature; where that leaves a signature with several
 components, the members are compared in blocks. No group is cut, and all its pairs
 are only looked at where its members are neither alike nor told apart before.
@@ -148,11 +149,14 @@ def signatures(value: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np
         spare = band.spare(n)
         empty = band.parts - np.bincount(key // band.parts, minlength=len(rows))
         short = np.flatnonzero(empty > spare)
-        if len(short):  # too many empty parts to leave out: they sign as well
+        if len(short):  # too many empty parts to leave out: the first ones use up the spare, the others sign as well
             every = (short[:, None] * band.parts + np.arange(band.parts)).ravel()
             every = every[~np.isin(every, key)]
+            n_empty = empty[short]
+            place = np.arange(len(every)) - np.repeat(np.cumsum(n_empty) - n_empty, n_empty)
+            every = every[place >= np.repeat(spare[short], n_empty)]
             key, sums = np.concatenate([key, every]), np.concatenate([sums, np.zeros(len(every), np.uint64)])
-            empty[short] = 0
+            spare[short] = empty[short] = 0
         with np.errstate(over="ignore"):
             sig = mix(sums ^ mix((key % band.parts + (j << 32)).astype(np.uint64)))
         yield j, rows, spare - empty, key // band.parts, sig, key % band.parts * RANGES // band.parts

@@ -1,6 +1,9 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pairlab.llm import nearjoin
@@ -81,6 +84,59 @@ def test_signatures_meet_for_every_similar_pair():
         assert shared >= 1
 
 
+def kept_signatures(value, offsets, frequent):
+    """What each set of a table keeps: the leave-out of ``near_components`` in plain Python."""
+    kept = {}
+    for j, rows, spare, owner, sig, _ in nearjoin.signatures(value, offsets):
+        n = Counter(sig.tolist())
+        for k, row in enumerate(rows.tolist()):
+            mine = sig[owner == k].tolist()
+            hot = sorted((s for s in mine if n[s] > frequent), key=lambda s: (-n[s], s))
+            gone = set(hot[: max(0, int(spare[k]))])
+            kept.setdefault(row, set()).update((j, s) for s in mine if s not in gone)
+    return kept
+
+
+def test_similar_short_sets_keep_a_common_signature():
+    r = np.random.default_rng(11)
+    for _ in range(60):
+        for n in range(3, 17):  # texts of 7 to 20 words
+            base = r.integers(0, 2**63, n).astype(np.uint64)
+            sets = [base, *(np.append(base, x) for x in r.integers(0, 2**63, 50).astype(np.uint64))]
+            value, offsets = np.concatenate([np.sort(s) for s in sets]), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            kept = kept_signatures(value, offsets, nearjoin.FREQUENT)
+            assert all(kept[0] & kept[k] for k in range(1, len(sets))), n
+
+
+def short_families():
+    """One row of seven words whose shingles fall into one of three parts, and 60 longer by one word."""
+    band = nearjoin.Band(1)
+    for seed in range(1000):
+        text = " ".join(f"t{seed}x{k}" for k in range(7))
+        value, _ = nearjoin.shingle_sets(pa.record_batch({"text": [text]}), "text")
+        part = (nearjoin.mix(value ^ nearjoin.SALT[0]) >> np.uint64(32)) * np.uint64(band.parts) >> np.uint64(32)
+        if len(set(part.tolist())) == 1:
+            return [(0, text), *((k, f"{text} v{k}") for k in range(1, 61))]
+
+
+def test_many_variants_of_a_short_text(spark, docs):
+    rows = short_families()
+    got = nearjoin.near_components(docs(rows).select("doc_id", "text")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows)
+
+
+def test_variants_of_templates_of_7_to_20_words(spark, docs):
+    rows, want = [], []
+    for n in range(7, 21):
+        words = [f"n{n}x{k}" for k in range(n)]
+        first = len(rows)
+        mine = [(first, " ".join(words)), *((first + k, " ".join([*words, f"v{k}"])) for k in range(1, 56))]
+        rows += mine
+        want += brute(mine)
+    got = nearjoin.near_components(docs(rows).select("doc_id", "text")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
 def test_empty_and_odd_tables(spark, docs):
     assert nearjoin.near_components(docs([])).count() == 0
     got = nearjoin.near_components(docs([(5, "a b c"), (5, "a b c"), (3, "A b c"), (None, "a b c"), (None, None), (8, "")])).collect()
