@@ -43,7 +43,7 @@ SKETCH = 64  # least number of classes
 BLOCK = 512
 SLICE_BYTES = 2 << 20
 RANGES = 8  # ranges of parts that a band's signatures are dealt to
-ROWS_PER_SPLIT = 2_000_000  # one more split of every range for so many rows
+GROUP_SIGNATURES = 1_000_000  # about the most signatures of one group: ranges are split by signature bits to get there
 BROADCAST_ROWS = 500_000  # pairs of row number and set name, 16 bytes each
 LOWER = np.frombuffer(lower_table(), np.uint8)
 IS_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
@@ -181,13 +181,36 @@ def describe(docs: DataFrame, text: str) -> DataFrame:
 PACKED = "bucket int, sigs binary, owners binary, sets binary, sizes binary, spares binary, known binary"
 
 
-def _signed(docs: DataFrame, text: str, splits: int, frequent: int) -> DataFrame:
+def band_splits(table: DataFrame) -> list[int]:
+    """For each band, the shares that its ranges are split into, from the counted sets of ``table``.
+
+    A set has at most one signature for each part, so a share has about ``GROUP_SIGNATURES`` at most.
+    """
+    sets = table.filter("set_id is not null").select("n_shingles", (F.length(F.bin("n_shingles")) - 1).alias("j"))
+    below = F.col("n_shingles") <= F.expr("(shiftleft(1L, j) - 1) * 4 div 3")  # also signs in the band below
+    found = {r["j"]: r for r in sets.withColumn("below", below).groupBy("j").agg(F.count("*").alias("n"), F.count_if("below").alias("below")).collect()}
+    out = []
+    for j in range(max(found, default=-1) + 1):
+        parts = Band(j).parts
+        n = sum(found[k][c] for k, c in ((j, "n"), (j + 1, "below")) if k in found)
+        out.append(1 + n * parts // (min(RANGES, parts) * GROUP_SIGNATURES))
+    return out
+
+
+def first_buckets(splits: list[int]) -> np.ndarray:
+    """Number of each band's first bucket."""
+    return RANGES * np.cumsum([0, *splits])[:-1]
+
+
+def _signed(docs: DataFrame, text: str, splits: list[int], frequent: int) -> DataFrame:
     """Packed signatures by bucket: one row for each bucket of a slice.
 
-    A bucket is a band, a range of its parts and one of ``splits`` shares of the signatures.
+    A bucket is a band, a range of its parts and one of the band's ``splits`` shares of the signatures.
     Signatures keep 48 bits (a chance agreement only adds a candidate). What one slice shows
-    to be frequent goes to the buckets of negative numbers, in any split.
+    to be frequent goes to the buckets of negative numbers; their rows are dealt to as many
+    lots as the band has shares, because one signature may have them all.
     """
+    base = first_buckets(splits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -202,18 +225,19 @@ def _signed(docs: DataFrame, text: str, splits: int, frequent: int) -> DataFrame
                     use = to[owner] >= 0
                     owner, sig, span = to[owner[use]], sig[use], span[use]
                     sets, sizes, spares = ids[rows[one]], size[rows[one]].astype(np.int32), spare[one].astype(np.int32)
-                    bucket = (j * RANGES + span) * splits + (sig >> np.uint64(48)).astype(np.int64) % splits
+                    bucket = base[j] + span * splits[j] + (sig >> np.uint64(32)).astype(np.int64) % splits[j]
                     sig = sig & np.uint64((1 << 48) - 1)
                     order = np.lexsort((sig, bucket))
                     owner, sig, bucket = owner[order], sig[order], bucket[order]
                     new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (bucket[1:] != bucket[:-1])])
                     number = np.cumsum(new) - 1
                     hot = np.bincount(number)[number] > frequent
-                    for k in np.unique(bucket).tolist():
-                        mine = bucket == k
-                        known = np.unique(sig[mine & hot])
-                        for name, some in ((k, mine & ~hot), (-1 - k, mine & hot)):
-                            if not some.any() and not (name == k and len(known)):
+                    buckets, at = np.unique(bucket, return_index=True)
+                    for k, x, y in zip(buckets.tolist(), at.tolist(), [*at.tolist()[1:], len(bucket)], strict=True):
+                        mine = np.arange(x, y)
+                        known = np.unique(sig[x:y][hot[x:y]])
+                        for name, some in ((k, mine[~hot[x:y]]), (-1 - k, mine[hot[x:y]])):
+                            if not len(some) and not (name == k and len(known)):
                                 continue
                             used, back = np.unique(owner[some], return_inverse=True)
                             short = sig[some].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
@@ -222,7 +246,9 @@ def _signed(docs: DataFrame, text: str, splits: int, frequent: int) -> DataFrame
                     cols = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], [x.split()[0] for x in PACKED.split(", ")])
 
-    return docs.select(text).mapInArrow(run, PACKED)
+    packed = docs.select(text).mapInArrow(run, PACKED)
+    lot = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(splits, default=1)))
+    return packed.withColumn("lot", F.when(F.col("bucket") < 0, lot).otherwise(0))
 
 
 def _unpack(part: pd.DataFrame) -> tuple[np.ndarray, ...]:
@@ -245,8 +271,9 @@ def _pair_rows(a, b, sa, sb) -> pd.DataFrame:
     return pd.DataFrame({"a": np.where(low, a, b), "b": np.where(low, b, a), "sa": np.where(low, sa, sb), "sb": np.where(low, sb, sa)})
 
 
-def _bucket_pairs(frequent: int, splits: int):
+def _bucket_pairs(frequent: int, splits: list[int]):
     """Pairs of the small groups of one bucket, and the members of the frequent ones."""
+    base = first_buckets(splits)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         names = [x.split()[0] for x in PAIRS.split(", ")]
@@ -279,7 +306,7 @@ def _bucket_pairs(frequent: int, splits: int):
         o = owner[hot]
         place = bucket if bucket >= 0 else -1 - bucket
         name = mix(sig[hot] ^ mix(np.full(int(hot.sum()), place, np.uint64))).view(np.int64)  # alike in the buckets of either sign
-        rest = pd.DataFrame({"sig": name, "set_id": sets[o], "size": sizes[o], "spare": spares[o], "band": place // splits // RANGES})
+        rest = pd.DataFrame({"sig": name, "set_id": sets[o], "size": sizes[o], "spare": spares[o], "band": int(np.searchsorted(base, place, "right")) - 1})
         # nullable integers before the columns are filled up: 64-bit names must not pass through floats
         full = [x.astype("Int64").reindex(columns=names).astype("Int64") for x in (found, rest)]
         return pd.concat(full)
@@ -400,9 +427,8 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table = truncate_lineage(describe(docs, text))
     sets = table.filter("set_id is not null").groupBy("set_id")
     facts = sets.agg(F.min("_row").alias("one"), F.min_by("sketch", "_row").alias("sketch"))
-    splits = 1 + table.count() // ROWS_PER_SPLIT
-    packed = _signed(docs, text, splits, frequent).withColumn("lot", F.when(F.col("bucket") < 0, F.monotonically_increasing_id() % 997).otherwise(0))
-    found = truncate_lineage(packed.groupBy("bucket", "lot").applyInPandas(_bucket_pairs(frequent, splits), PAIRS))
+    splits = band_splits(table)
+    found = truncate_lineage(_signed(docs, text, splits, frequent).groupBy("bucket", "lot").applyInPandas(_bucket_pairs(frequent, splits), PAIRS))
     first = found.filter("a is not null").select("a", "b", "sa", "sb").distinct()
     hot = found.filter("sig is not null").select("sig", "set_id", "size", "spare", "band").distinct()
     # a set leaves out its most frequent signatures first; which ones follows from one order for all sets,

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pairlab.llm import nearjoin
 
@@ -137,6 +138,28 @@ def test_variants_of_templates_of_7_to_20_words(spark, docs):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
 
 
+def test_groups_of_signatures_are_bounded(spark, docs, monkeypatch):
+    monkeypatch.setattr(nearjoin, "GROUP_SIGNATURES", 1000)
+    monkeypatch.setattr(nearjoin, "SLICE_BYTES", 4000)
+    r = random.Random(8)
+    head = [f"h{k}" for k in range(150)]  # frequent in every slice
+    rows = [(i, " ".join([*head, *(f"w{r.randrange(9999)}" for _ in range(r.choice([100, 400])))])) for i in range(300)]
+    table = docs(rows).select("doc_id", "text")
+    splits = nearjoin.band_splits(nearjoin.describe(table, "text"))
+    packed = nearjoin._signed(table, "text", splits, 2)
+    groups = packed.groupBy("bucket", "lot").agg(F.sum(F.length("sigs") / 6).alias("n")).collect()
+    assert len(splits) > 8 and max(splits) > 3
+    assert max(g["n"] for g in groups) < 1500
+    assert sum(g["n"] for g in groups) > 30_000
+
+
+def test_split_ranges_against_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(nearjoin, "GROUP_SIGNATURES", 100)
+    rows = corpus(4)
+    got = nearjoin.near_components(docs(rows).select("doc_id", "text"), frequent=3).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows)
+
+
 def test_empty_and_odd_tables(spark, docs):
     assert nearjoin.near_components(docs([])).count() == 0
     got = nearjoin.near_components(docs([(5, "a b c"), (5, "a b c"), (3, "A b c"), (None, "a b c"), (None, None), (8, "")])).collect()
