@@ -42,11 +42,13 @@ def learn(training: DataFrame, text: str = "text", lang: str = "lang", sample_do
     """
     rows = training.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null and text <> ''")
     share = dict_bytes // sample_docs + 1
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).collect()
+    counts = {r["lang"]: r["n"] for r in sizes}
     if not counts:
         return {}
-    part = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4.0 * sample_docs / n)))])
-    rows = rows.withColumn("h", F.xxhash64("text"))
+    # copies are one text: the threshold follows the distinct texts (a sketch; 4 times too many are let through)
+    part = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, 4.0 * sample_docs / max(r["d"], 1))))])
     near = rows.filter((F.col("h") / F.lit(2.0**64) + 0.5) <= F.element_at(part, F.col("lang"))).dropDuplicates(["lang", "h"])
     first = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample_docs)
     texts: dict[str, list[bytes]] = {}

@@ -32,3 +32,11 @@ def test_no_training_rows(spark, docs):
     assert model == {}
     assert {r["lang_pred"] for r in langid.identify(docs(["abc", None]), model).collect()} == {"und"}
     assert langid.identify(docs([]), model).count() == 0
+
+
+def test_a_language_of_copies_has_its_dictionary(spark, docs):
+    copies = ["der Hund und die Katze", "sie sind heute nicht da", "und wo ist die Maus"]
+    texts = ["the cat sat on the mat"] + [copies[i % 3] for i in range(20_000)]
+    model = langid.learn(docs(texts, ["en", *["de"] * 20_000]))
+    assert list(model) == ["de", "en"]
+    assert all(t.lower().encode() in model["de"] for t in copies)
