@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import brown, contamination, langid, nearjoin, pieces, quality, quotes, sharding, substrings, warc
+from pairlab.llm import brown, contamination, hardneg, langid, licenses, nearjoin, pieces, quality, quotes, sharding, spelling, substrings, warc
 from pairlab.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,6 +259,76 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License detections of all documents; the labels of base phrases stay beside those of the rules."""
+    found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    labels = lambda *lists: F.array_join(F.array_sort(F.array_distinct(F.concat(*lists))), ",")
+    start = F.col("base_places.start").cast("array<bigint>")
+    return found.select(
+        "doc_id", "n_words",
+        F.size("base_places").cast("bigint").alias("n_base"),
+        F.array_min(start).alias("first_word"), F.array_max(start).alias("last_word"),
+        labels("base_places.label").alias("base_labels"),
+        labels("base_places.label", "detections.label").alias("labels"),
+        F.coalesce(F.array_max("detections.weight"), F.lit(0.0)).alias("score"),
+    )
+
+
+@query(
+    sql="""
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+      from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, id, score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, p.id as positive_id, row_number() over w::int as rank, s.id as negative_id, p.score as positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score
+window w as (partition by p.anchor_id, p.id order by s.score desc, s.id) qualify row_number() over w <= 3"""
+)
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows as negatives of the anchors whose id is divisible by 50."""
+    rows = hardneg.usable(table(spark, folder, "embeddings"), "vec_id", "label", "embedding")
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.select("id", label.alias("label"), F.transform("v", lambda x: F.floor(256 * x).cast("double")).alias("v")), F.col("id") % 50 == 0)
+
+
+@query(
+    sql="""
+with recursive tab as (
+  select list(c order by i) as t from (
+    select i, list_reduce(list_prepend(i::bigint, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+    from range(256) r(i))),
+r as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]{5,}')) as run from documents),
+d as (select run, coalesce(doc_id::varchar, '') || ':' || run as x, count(*) as k from r group by 1, 2),
+b as (select run, k, list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: ('0x' || h)::bigint) as bytes from d),
+h as (select run, k, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, y: xor(c >> 8, t[xor(c, y) % 256 + 1])), 4294967295)::bigint as h from b, tab),
+w as (select case when h % 97 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word, k from h),
+v as (select word, sum(k)::bigint as n from w where length(word) >= 5 group by 1 having sum(k) >= 3),
+g as (select word, n, i, word[:i] || word[i + 2:] as gap from (select word, n, unnest(range(length(word))) as i from v)),
+near as (
+  select a.word, b.word as other, b.n as m from g a join g b on a.i = b.i and a.gap = b.gap and a.word <> b.word
+  union select g.word, v.word, v.n from g join v on v.word = g.gap
+  union select v.word, g.word, g.n from g join v on v.word = g.gap),
+best as (select word, count(*)::bigint as n_near, min({'m': -m, 'other': other}) as b from near group by 1),
+f as (select v.word, n, coalesce(n_near, 0) as n_near, case when -b.m >= 2 * n then b.other end as form, case when -b.m >= 2 * n then -b.m end as form_n
+      from v left join best using (word)),
+up as (select word, form as root, 1 as k from f where form is not null
+       union all select up.word, f.form, k + 1 from up join f on f.word = up.root where f.form is not null),
+top as (select word, max_by(root, k) as root from up group by 1)
+select f.word, n, n_near, form, form_n, coalesce(root, f.word) as root from f left join top using (word)"""
+)
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Variants among all words of all documents; runs whose hash is divisible by 97 lose a code point first."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    cut = F.overlay("run", F.lit(""), h % F.length("run") + 1, F.lit(1))
+    words = spelling.vocabulary(docs, "text", F.when(h % 97 == 0, cut).otherwise(F.col("run")))
+    return spelling.group_variants(words).select("word", "n", "n_near", "form", "form_n", "root")
+
+
 @query(sql=corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus pipeline over the whole table."""
