@@ -252,11 +252,14 @@ def _with_text(spark, sf):
 @query(
     "coverage_gap",
     ctes("raw_pairs", extra="e as (select split_part(name_1, '.', 1) as entity from raw_pairs union select split_part(name_2, '.', 1) from raw_pairs)")
-    + "select entity from e where entity not in (select split_part(official_name, '.', 1) from names where id in (select doc_id from documents))",
+    + """select entity from e where entity not in (select split_part(official_name, '.', 1) from names where id in (select doc_id from documents)
+        and id in (select ord from catalogue where AllergenicityRef is not null))""",
 )
 def coverage_gap(spark, sf):
+    """Names in pairs without a catalogue entry that has a text and a reference."""
     pairs = X.raw_pairs(spark, sf).select(T.base_name("name_1").alias("a"), T.base_name("name_2").alias("b"))
-    known = _with_text(spark, sf).select(T.base_name("official_name").alias("official_name"))
+    cited = X.dirty_catalogue(spark, sf).filter("AllergenicityRef is not null").select(F.col("ord").alias("id"))
+    known = _with_text(spark, sf).join(cited, "id", "left_semi").select(T.base_name("official_name").alias("official_name"))
     return D.coverage_gap(pairs, "a", "b", known, "official_name")
 
 
