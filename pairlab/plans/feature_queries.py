@@ -10,6 +10,7 @@ from pairlab.operators import features as H
 from pairlab.operators import ranking as K
 from pairlab.operators import sampling as N
 from pairlab.operators import similarity as S
+from pairlab.operators import sparse as Y
 from pairlab.operators import translation as Z
 from pairlab.operators.rows import canonical_pair
 from pairlab.operators.split import cross_split_drop
@@ -89,17 +90,32 @@ def kmer_profile(spark, sf):
     return r6(H.kmer_profile(X.sequences(spark, sf)), "freq")
 
 
+KMER_ALIKE = 0.95
+
+
 @query(
     "kmer_cosine",
-    ctes("sequences", extra=KMER_SQL) + """, pairs as (select a.id as id_1, b.id as id_2 from sequences a, (values (1), (2), (3), (4), (5)) s(step), sequences b where b.id = a.id + s.step),
+    ctes("sequences", extra=KMER_SQL) + f""", dots as (select x.id as id_1, y.id as id_2, sum(x.freq * y.freq) as d from prof x join prof y on x.kmer = y.kmer and x.id < y.id group by all),
+        sims as (select id_1, id_2, d / (a.norm * b.norm) as s from dots join norms a on a.id = id_1 join norms b on b.id = id_2)
+        select id_1, id_2, round(s, 6) as kmer_cosine from sims where round(s, 12) >= {KMER_ALIKE}""",
+)
+def kmer_cosine(spark, sf):
+    """All pairs of texts whose k-mer profiles have a cosine of at least 0.95."""
+    found = Y.sparse_pairs(H.kmer_vectors(X.sequences(spark, sf)), KMER_ALIKE, H.KMER_WIDTH)
+    return found.select("id_1", "id_2", F.round("score", 6).alias("kmer_cosine"))
+
+
+@query(
+    "kmer_cosine_listed",
+    ctes("sequences", extra=KMER_SQL) + """, pairs as (select a.id as id_1, b.id as id_2 from sequences a join sequences b on b.id = a.id + 1),
         dots as (select p.id_1, p.id_2, sum(x.freq * y.freq) as d from pairs p join prof x on x.id = p.id_1 join prof y on y.id = p.id_2 and y.kmer = x.kmer group by all)
         select p.id_1, p.id_2, round(coalesce(d / (a.norm * b.norm), 0), 6) as kmer_cosine from pairs p left join dots d using (id_1, id_2)
         left join norms a on a.id = p.id_1 left join norms b on b.id = p.id_2""",
 )
-def kmer_cosine(spark, sf):
+def kmer_cosine_listed(spark, sf):
+    """Profiles of listed pairs: every text and the next one."""
     seqs = X.sequences(spark, sf)
-    pairs = seqs.select(F.col("id").alias("id_1"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 5)).alias("id_2"))
-    pairs = pairs.join(seqs.select(F.col("id").alias("id_2")), "id_2", "left_semi")
+    pairs = seqs.select(F.col("id").alias("id_1"), (F.col("id") + 1).alias("id_2")).join(seqs.select(F.col("id").alias("id_2")), "id_2", "left_semi")
     out = H.kmer_cosine(pairs, "id_1", "id_2", truncate_lineage(H.kmer_vectors(seqs)))
     return r6(out.select("id_1", "id_2", "kmer_cosine"), "kmer_cosine")
 
@@ -112,8 +128,7 @@ def kmer_cosine(spark, sf):
 )
 def kmer_neighbors(spark, sf):
     """Nearest texts by k-mer profile among all texts (ties differ only in the neighbour's id)."""
-    v = truncate_lineage(H.kmer_vectors(X.sequences(spark, sf)).filter(F.size("v.i") > 0))
-    top = S.top_neighbors(v.select(F.col("id").alias("query_id")), v, 3, block=512, width=H.KMER_WIDTH)
+    top = Y.sparse_neighbors(H.kmer_vectors(X.sequences(spark, sf)), 3, H.KMER_WIDTH)
     return top.select("query_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 5).alias("score"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairlab.operators import evaluate as M
+from pairlab.operators import fusion as J
 from pairlab.operators import graph as G
 from pairlab.operators import ranking as K
 from pairlab.operators import reports as P
@@ -303,43 +304,44 @@ def hits_mrr_by_family(spark, sf):
     return r6(K.hits_mrr(r, ["query_family"]), *METRIC_COLS)
 
 
-# Listed candidates of every query: all partners and partners' partners within five ids.
-NEAR = """near as (select q.pair_id, q.direction, q.query_id, q.target_id, c.id, round(list_cosine_similarity(a.v, c.v), 6) as cosine,
-        round(1 / (1 + list_distance(list_transform(a.v, lambda x, i: x * i), list_transform(c.v, lambda x, i: x * i))), 6) as weighted
-        from q join vectors a on a.id = q.query_id join (select unnest(range(-5, 6)) as step) st on true
-        join vectors c on c.id = q.target_id + st.step and c.id <> q.query_id)"""
-GROUP = ["pair_id", "direction", "query_id"]
+GROUP = ["pair_id", "direction", "query_id", "target_id"]
+#: Both methods' scores of every query with every other entity, then fused; ``fused_rank`` ranks the target by them.
+POOL = """scored as (select s.qid, s.cid, s.s as cosine, sw.s as weighted from s join sw using (qid, cid))"""
+FUSED_RANK = """select q.pair_id, q.direction, q.query_id, q.target_id, round(t.f, 6) as score,
+        1 + count(*) filter (c.f > t.f or (c.f = t.f and c.cid < q.target_id)) as rank
+        from q join fused t on t.qid = q.query_id and t.cid = q.target_id join fused c on c.qid = q.query_id and c.cid <> q.target_id
+        group by pair_id, direction, query_id, target_id, t.f"""
 
 
-def _near(spark, sf):
-    q = K.bidirectional_queries(X.gold(spark, sf)).select("pair_id", "direction", "query_id", "target_id")
-    c = q.withColumn("id", F.explode(F.sequence(F.col("target_id") - 5, F.col("target_id") + 5))).filter("id <> query_id")
+def _methods(spark, sf):
     v = X.vectors(spark, sf)
-    scored = S.cosine_pairs(c, "query_id", "id", v, "cosine", "cosine")
-    scored = S.cosine_pairs(scored, "query_id", "id", weighted(v), "euclidean", "weighted")
-    scored = scored.withColumns({"cosine": F.round("cosine", 6), "weighted": F.round(1 / (1 - F.col("weighted")), 6)})
-    return scored.drop("target_id"), q
+    return [J.Method(v), J.Method(weighted(v), "euclidean")]
 
 
 @query(
     "minmax_average",
-    ctes("gold", "vectors", extra=f"{Q_SQL}, {NEAR}") + """select pair_id, direction, query_id, id, round(((cosine - min(cosine) over g) / (max(cosine) over g - min(cosine) over g + 1e-12)
-        + (weighted - min(weighted) over g) / (max(weighted) over g - min(weighted) over g + 1e-12)) / 2, 6) as score
-        from near window g as (partition by pair_id, direction, query_id)""",
+    ctes("gold", "vectors", extra=f"{Q_SQL}, {COS_SQL}, {W_SQL}, {POOL}") + """, fused as (select qid, cid,
+        round(((cosine - min(cosine) over g) / (max(cosine) over g - min(cosine) over g + 1e-12)
+        + (weighted - min(weighted) over g) / (max(weighted) over g - min(weighted) over g + 1e-12)) / 2, 9) as f
+        from scored window g as (partition by qid)) """ + FUSED_RANK,
 )
 def minmax_average(spark, sf):
-    scores, _ = _near(spark, sf)
-    return r6(K.minmax_average(scores, ["cosine", "weighted"], GROUP).select(*GROUP, "id", "score"), "score")
+    """The target among all entities by the mean of two min-max scaled scores."""
+    q = K.bidirectional_queries(X.gold(spark, sf))
+    return r6(J.rank_minmax(q, _methods(spark, sf)).select(*GROUP, "score", "rank"), "score")
 
 
 @query(
     "rrf",
-    ctes("gold", "vectors", extra=f"{Q_SQL}, {NEAR}") + """select pair_id, direction, query_id, id, round(1.0 / (60 + row_number() over (partition by pair_id, direction, query_id order by cosine desc, id))
-        + 1.0 / (60 + row_number() over (partition by pair_id, direction, query_id order by weighted desc, id)), 6) as score from near""",
+    ctes("gold", "vectors", extra=f"{Q_SQL}, {COS_SQL}, {W_SQL}, {POOL}") + """, ranked as (select *,
+        row_number() over (partition by qid order by cosine desc, cid) as r0, row_number() over (partition by qid order by weighted desc, cid) as r1 from scored),
+        fused as (select qid, cid, r0, r1, round(1.0 / (60 + r0) + 1.0 / (60 + r1), 11) as f from ranked) """
+    + FUSED_RANK.replace("as score,", "as score, t.r0 as rank_0, t.r1 as rank_1,") + ", t.r0, t.r1",
 )
 def rrf(spark, sf):
-    scores = truncate_lineage(_near(spark, sf)[0])  # read once per method and bounds
-    return r6(K.rrf(scores, ["cosine", "weighted"], GROUP).select(*GROUP, "id", "score"), "score")
+    """The target among all entities by reciprocal-rank fusion of two methods."""
+    q = K.bidirectional_queries(X.gold(spark, sf))
+    return r6(J.rank_rrf(q, _methods(spark, sf)).select(*GROUP, "score", "rank_0", "rank_1", "rank"), "score")
 
 
 _MM = "select 'cosine' as method, avg(1.0 / rank) as mrr from r union all select 'weighted', avg(1.0 / rank) from rw union all select 'empty', null"
