@@ -11,6 +11,7 @@ from pairlab.operators import ranking as K
 from pairlab.operators import sampling as N
 from pairlab.operators import similarity as S
 from pairlab.operators import sparse as Y
+from pairlab.operators import tokens as U
 from pairlab.operators import translation as Z
 from pairlab.operators.rows import canonical_pair
 from pairlab.operators.split import cross_split_drop
@@ -132,21 +133,36 @@ def kmer_neighbors(spark, sf):
     return top.select("query_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 5).alias("score"))
 
 
+_TOPS = ", ".join(f"round(avg(s) filter (rn <= {k}), 9) as t{k}" for k in H.TOKEN_TOP_K)
+TOKEN_SQL = f"""cos as (select x.id as qid, y.id as cid, list_cosine_similarity(x.v, y.v) as s from tokens x join tokens y on x.id <> y.id),
+    numbered as (select *, row_number() over (partition by qid, cid order by s desc) as rn from cos),
+    tops as (select qid, cid, {_TOPS} from numbered group by all)"""
+
+
 @query(
     "token_topk_similarity",
-    ctes("tokens") + """, ids as (select distinct id from tokens), pr as (select a.id as id_1, b.id as id_2 from ids a, (values (1), (2), (3)) s(step), ids b where b.id = a.id + s.step),
-        sims as (select id_1, id_2, s, row_number() over (partition by id_1, id_2 order by s desc) as rn from
-            (select id_1, id_2, list_cosine_similarity(x.v, y.v) as s from pr join tokens x on x.id = id_1 join tokens y on y.id = id_2))
-        select id_1, id_2, round(avg(s) filter (rn <= 5), 6) as top_5, round(avg(s) filter (rn <= 15), 6) as top_15, round(avg(s) filter (rn <= 30), 6) as top_30
-        from sims group by all""",
+    ctes("tokens", extra=TOKEN_SQL) + "select t.qid as query_id, t.cid as target_id, "
+    + ", ".join(f"round(t.t{k}, 6) as top_{k}, 1 + count(*) filter (c.t{k} > t.t{k} or (c.t{k} = t.t{k} and c.cid < t.cid)) as rank_{k}" for k in H.TOKEN_TOP_K)
+    + " from tops t join tops c on c.qid = t.qid and c.cid <> t.cid where abs(t.qid - t.cid) = 1 group by t.qid, t.cid, t.t5, t.t15, t.t30",
 )
 def token_topk_similarity(spark, sf):
+    """The neighbours of every entity among all entities by the mean of the best 5, 15 and 30 token cosines."""
+    t = X.token_vectors(spark, sf)
+    ids = t.select("id").distinct()
+    q = ids.select(F.col("id").alias("query_id"), F.explode(F.array(F.col("id") - 1, F.col("id") + 1)).alias("target_id"))
+    return r6(U.rank_by_tokens(q, t), *[f"top_{k}" for k in H.TOKEN_TOP_K])
+
+
+@query(
+    "token_topk_listed",
+    ctes("tokens", extra=TOKEN_SQL) + "select qid as id_1, cid as id_2, " + ", ".join(f"round(t{k}, 6) as top_{k}" for k in H.TOKEN_TOP_K) + " from tops where cid = qid + 1",
+)
+def token_topk_listed(spark, sf):
+    """Token similarity of listed pairs: every entity and the next one."""
     t = X.token_vectors(spark, sf)
     ids = t.select("id").distinct()
-    pairs = ids.select(F.col("id").alias("id_1"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 3)).alias("id_2"))
-    pairs = pairs.join(ids.withColumnRenamed("id", "id_2"), "id_2", "left_semi")
-    out = H.token_topk_similarity(pairs, "id_1", "id_2", t)
-    return r6(out.select("id_1", "id_2", "top_5", "top_15", "top_30"), "top_5", "top_15", "top_30")
+    pairs = ids.select(F.col("id").alias("id_1"), (F.col("id") + 1).alias("id_2")).join(ids.withColumnRenamed("id", "id_2"), "id_2", "left_semi")
+    return r6(H.token_topk_similarity(pairs, "id_1", "id_2", t).select("id_1", "id_2", "top_5", "top_15", "top_30"), "top_5", "top_15", "top_30")
 
 
 @query(
