@@ -72,8 +72,11 @@ def align_batch(a: list[str], b: list[str], matrix: np.ndarray) -> tuple[np.ndar
     """
     ca, cb = _codes(a), _codes(b)
     n, la, lb = len(a), ca.shape[1], cb.shape[1]
-    if la + lb >= IDENTICAL:
-        raise ValueError(f"texts of {la} and {lb} letters are too long for one path state")
+    if not la or not lb:
+        return np.zeros(n), np.zeros(n)
+    if la + lb >= IDENTICAL:  # counts do not fit into one path state
+        found = [align_long(x, y, matrix) for x, y in zip(a, b, strict=True)]
+        return np.array([f[0] for f in found]), np.array([f[1] for f in found])
     # a column of residues x, y adds this much to a path
     step = (matrix * SCORE + np.eye(len(matrix), dtype=np.int64) * IDENTICAL + COLUMN).ravel()
     open_gap, extend_gap, none = OPEN_GAP * SCORE + COLUMN, EXTEND_GAP * SCORE + COLUMN, -(1 << 62)
@@ -109,6 +112,70 @@ def align_batch(a: list[str], b: list[str], matrix: np.ndarray) -> tuple[np.ndar
     return np.where(columns > 0, 100.0 * same / np.maximum(columns, 1), 0.0), (best // SCORE).astype(float)
 
 
+STRIPE = 8192  # letters of the first text that advance together
+WIDE = 1 << 31  # in long texts a state is score and identical columns, with all columns beside it
+
+
+def _better(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    take = (y[0] > x[0]) | ((y[0] == x[0]) & (y[1] > x[1]))
+    return np.where(take, y[0], x[0]), np.where(take, y[1], x[1])
+
+
+def align_long(a: str, b: str, matrix: np.ndarray, stripe: int = STRIPE) -> tuple[float, float]:
+    """The same for one pair of any length, in stripes of the first text.
+
+    A stripe runs over the whole second text by anti-diagonals; its last row (best state and
+    best state in a gap) is carried to the next stripe. Memory is a stripe and two rows.
+    """
+    ca, cb = _codes([a])[0], _codes([b])[0]
+    lb = len(cb)
+    if not lb:
+        return 0.0, 0.0
+    step = matrix * WIDE + np.eye(len(matrix), dtype=np.int64)
+    none = -(1 << 62)
+    state = lambda n, fill=0: (np.full(n, fill, dtype=np.int64), np.zeros(n, dtype=np.int64))
+    gap = lambda s, cost: (s[0] + cost * WIDE, s[1] + 1)
+    cut = lambda s, k: (s[0][k], s[1][k])
+    top_h, top_f = state(lb + 1), state(lb + 1, none)  # row above the stripe, by column
+    best = (0, 0)
+    for start in range(0, len(ca), stripe):
+        rows = ca[start : start + stripe]
+        n = len(rows)
+        # position i of a diagonal d is the cell (i, d - i); row 0 is the carried row, column 0 a border
+        h2, h1, e, f = state(n + 1), state(n + 1), state(n + 1, none), state(n + 1, none)
+        next_h, next_f = state(lb + 1), state(lb + 1, none)
+        for x, y in zip((h2, f), (top_h, top_f), strict=True):
+            x[0][0], x[1][0] = y[0][0], y[1][0]
+        h1[0][0], h1[1][0] = top_h[0][1], top_h[1][1]
+        f[0][0], f[1][0] = top_f[0][1], top_f[1][1]
+        for d in range(2, n + lb + 1):
+            lo, hi = max(1, d - lb), min(n, d - 1)
+            at, up = slice(lo, hi + 1), slice(lo - 1, hi)
+            diag = (h2[0][up] + step[rows[lo - 1 : hi], cb[d - hi - 1 : d - lo][::-1]], h2[1][up] + 1)
+            over = _better(gap(cut(h1, up), OPEN_GAP), gap(cut(f, up), EXTEND_GAP))
+            left = _better(gap(cut(h1, at), OPEN_GAP), gap(cut(e, at), EXTEND_GAP))
+            h = _better(_better(diag, left), over)
+            low = h[0] < WIDE
+            h[0][low], h[1][low] = 0, 0
+            top = int(h[0].max())
+            if top and top >= best[0]:
+                best = max(best, (top, int(h[1][h[0] == top].max())))
+            new = state(n + 1)
+            new[0][at], new[1][at] = h
+            e[0][at], e[1][at] = left
+            f[0][at], f[1][at] = over
+            if d <= lb:  # the carried row is row 0 of the next diagonals
+                new[0][0], new[1][0] = top_h[0][d], top_h[1][d]
+                f[0][0], f[1][0] = top_f[0][d], top_f[1][d]
+            if hi == n:
+                for x, y in ((next_h, h), (next_f, over)):
+                    x[0][d - n], x[1][d - n] = y[0][-1], y[1][-1]
+            h2, h1 = h1, new
+        top_h, top_f = next_h, next_f
+    same = best[0] % WIDE
+    return (100.0 * same / best[1] if best[1] else 0.0), float(best[0] // WIDE)
+
+
 def align_all(a: list[str], b: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of similar size are aligned together, a bounded number of cells at a time; the shorter text leads."""
     size = np.array([list(map(len, a)), list(map(len, b))]).reshape(2, -1)

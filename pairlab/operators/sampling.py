@@ -28,6 +28,7 @@ NEGATIVES_PER_POSITIVE = 10  # fixed value: ratio of the training jobs
 DATASET_RATIO = 5.0  # fixed value: ratio of the dataset builder
 HARD_FRACTION = 0.3  # fixed value
 HARD_TRIES = 10  # fixed value: candidates per hard draw
+HARD_ROUNDS = 6  # of draws, each twice the one before; the list fills the rest
 BROADCAST_ROWS = 100_000  # look-up tables of (group, family) rows up to here are broadcast
 
 
@@ -120,16 +121,17 @@ def _first_distinct(pairs: DataFrame, span: dict[str, int]) -> DataFrame:
     return take_first(once, F.col("draw"), F.element_at(made, F.col("grp")), F.col("want"), ["grp"])
 
 
-def _rounds(groups: list[tuple[str, int, int, int]], draw) -> DataFrame | None:
+def _rounds(groups: list[tuple[str, int, int, int]], draw, limit: int | None = None) -> DataFrame | None:
     """Rounds of draws until every group (key, pool, wanted, draws) has its wanted pairs.
 
     ``draw(Groups)`` gives the valid pairs of some draws. A round goes on where the last
     one ended, so the result is that of one long stream. The caller asks for no more
-    pairs than exist, so the rounds end.
+    pairs than exist, so the rounds end; with a ``limit`` they end after so many.
     """
     todo = [(*g, 0) for g in groups]
-    found, span = None, {}
-    while todo:
+    found, span, made = None, {}, 0
+    while todo and made != limit:
+        made += 1
         new = truncate_lineage(draw(Groups(todo)))
         found = new if found is None else found.unionByName(new)
         span |= {g: first + d for g, _, _, d, first in todo}
@@ -261,10 +263,11 @@ class _Families:
     def __init__(self, pool: DataFrame, group: str | None):
         known = pool.filter(F.coalesce(F.col("family"), F.lit("")) != "")
         grp = F.col(group).cast("string") if group else F.lit("all")
-        self.pool = known.select("id", "family", grp.alias("grp"))
+        self.pool = truncate_lineage(known.select("id", "family", grp.alias("grp")))
         sizes = self.pool.groupBy("grp", "family").agg(F.count("*").alias("fsize"))
-        self.table = number_by_hash(sizes, "family", ["family"], ["grp"], "fidx")
-        self.members = number_by_hash(self.pool, "member", ["id"], ["grp", "family"], "midx")
+        # every round of draws reads both
+        self.table = truncate_lineage(number_by_hash(sizes, "family", ["family"], ["grp"], "fidx"))
+        self.members = truncate_lineage(number_by_hash(self.pool, "member", ["id"], ["grp", "family"], "midx"))
         self.counts = {r["grp"]: r["n"] for r in sizes.groupBy("grp").agg(F.count("*").alias("n")).collect()}
 
     def look_up(self, draws: DataFrame, at: str, prefix: str) -> DataFrame:
@@ -293,7 +296,9 @@ def neg_hard(
     """(grp, id_a, id_b, pair_type): pairs of two different known families.
 
     With vectors each draw has ``tries`` candidates and keeps the most similar
-    one; without, the single candidate.
+    one, at every size; what ``HARD_ROUNDS`` rounds of draws leave open, because nearly all
+    pairs are wanted, is filled from the list of the others in hash order. Without vectors the
+    single candidate counts, and a large share of all pairs comes from the list.
     """
     if vectors is not None:
         pool = pool.join(vectors.select("id").distinct(), "id", "left_semi")  # others cannot be scored
@@ -310,8 +315,7 @@ def neg_hard(
         size, square = squares.get(g, (0, 0))
         valid = (size * size - square) // 2 - known.get(g, 0)
         n = min(n, valid)
-        # the best of several tries prefers few pairs: a large share of all is taken from the list
-        if n > 0 and (8 if vectors is not None else 2) * n >= valid:
+        if n > 0 and vectors is None and 2 * n >= valid:
             every.append((g, n))
         elif n > 0:
             some.append((g, fam.counts[g], n, 3 * n + 200))
@@ -333,17 +337,19 @@ def neg_hard(
         )
         return best.select("grp", "want", "draw", "p.id_a", "p.id_b")
 
-    parts = [_rounds(some, draw)]
+    drawn = _rounds(some, draw, HARD_ROUNDS if vectors is not None else None)
+    parts = [drawn]
+    if vectors is not None and drawn is not None:
+        drawn = truncate_lineage(drawn)
+        parts, got = [drawn], _counts(drawn, "grp")
+        every = [(g, n - got.get(g, 0)) for g, _, n, _ in some if got.get(g, 0) < n]
     if every:
         numbered = _numbered(fam.pool, "grp", False).join(fam.pool.select("id", "grp", "family"), ["id", "grp"])
         pairs = _every_pair(truncate_lineage(numbered), every, True).filter("family <> _b_family")
         pairs = _unknown(pairs.select("grp", "want", "id_a", "id_b"), positives)
-        if vectors is None:
-            parts.append(_take_by_hash(pairs, seed, "hard"))
-        else:  # the most similar ones
-            scored = truncate_lineage(cosine_pairs(pairs, "id_a", "id_b", vectors))
-            away = F.floor((1 - F.col("score")) * (1 << 39)).cast("bigint")
-            parts.append(take_first(scored, F.greatest(away, F.lit(0)), F.lit((1 << 40) + 1), F.col("want"), ["grp"], ["id_a", "id_b"]).select("grp", "id_a", "id_b"))
+        if drawn is not None:
+            pairs = pairs.join(drawn, ["grp", "id_a", "id_b"], "left_anti")
+        parts.append(_take_by_hash(pairs, seed, "hard"))
     kind = "hard_cross_family_geometric" if vectors is not None else "hard_cross_family"
     return _union(parts, pool).withColumn("pair_type", F.lit(kind))
 
@@ -420,11 +426,11 @@ def triplet_random(directed: DataFrame, pool: DataFrame, positives: DataFrame, s
     anchor with very many partners neither rejects draws nor fills one task. An
     anchor related to the whole pool has no row.
     """
-    numbered = number_by_hash(pool.select("id"), "pool", ["id"])
-    size = pool.count()
+    numbered = truncate_lineage(number_by_hash(pool.select("id"), "pool", ["id"]))
+    size = numbered.count()
     anchors = directed.select("anchor").distinct()
     invalid = _partners(positives).unionByName(anchors.select("anchor", F.col("anchor").alias("other"))).distinct()
-    invalid = invalid.join(anchors, "anchor", "left_semi").join(numbered.withColumnRenamed("id", "other"), "other")
+    invalid = truncate_lineage(invalid.join(anchors, "anchor", "left_semi").join(numbered.withColumnRenamed("id", "other"), "other"))
     ordered = running_by_value(invalid.select("anchor", "idx"), "idx", {"i": F.lit(1)}, ["anchor"])
     left = invalid.groupBy("anchor").agg((F.lit(size) - F.count("*")).alias("_free"))
     r = draw_index(F.col("_free"), seed, "triplet", F.col("pair_id"), F.col("anchor"))

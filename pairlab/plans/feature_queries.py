@@ -282,6 +282,41 @@ def alignment_self(spark, sf):
     return found.select("id_a.conv_id", "id_a.turn", "identity", "score")
 
 
+def _alignment_sql() -> str:
+    """Row by row dynamic programming over table ``seqs`` (id, a, b): ``best`` packs score, identical and all columns as the operator does."""
+    n = len(A.BLOSUM_LETTERS)
+    m = A.scoring_matrix()[:n, :n] * A.SCORE
+    rows = ",".join("[" + ",".join(str(int(x) + (A.IDENTICAL if i == j else 0) + A.COLUMN) for j, x in enumerate(row)) + "]" for i, row in enumerate(m))
+    open_, extend, none = A.OPEN_GAP * A.SCORE + A.COLUMN, A.EXTEND_GAP * A.SCORE + A.COLUMN, f"({-(1 << 62)})::bigint"
+    gap = f"greatest(acc.h[-1] + {open_}, acc.e + {extend})"
+    code = lambda c: f"list_transform(string_split({c}, ''), lambda x: position(x in '{A.BLOSUM_LETTERS}'))"
+    return f"""s as (select id, {code("a")} as ca, {code("b")} as cb from seqs where a <> '' and b <> ''),
+    dp as (select id, 0 as i, list_transform(range(len(cb) + 1), lambda j: 0::bigint) as h, list_transform(range(len(cb) + 1), lambda j: {none}) as f, 0::bigint as best from s
+        union all select id, i, h, f, greatest(best, list_max(h)) from (
+        select id, i, f, best, list_reduce(list_prepend({{'h': [0::bigint], 'e': {none}}}, t), lambda acc, x: {{
+            'h': list_append(acc.h, case when greatest(x.e, {gap}) < {A.SCORE} then 0 else greatest(x.e, {gap}) end), 'e': {gap}}}).h as h from (
+        select id, i, best, f, list_transform(range(1, len(cb) + 1), lambda j: {{'h': [0::bigint], 'e': greatest(h[j] + m[ca[i]][cb[j]], f[j + 1])}}) as t from (
+        select dp.id, dp.i + 1 as i, h, best, ca, cb, m,
+            list_prepend({none}, list_transform(range(1, len(cb) + 1), lambda j: greatest(h[j + 1] + {open_}, dp.f[j + 1] + {extend}))) as f
+        from dp join s using (id), (select [{rows}] as m) where dp.i < len(ca)))))"""
+
+
+@query(
+    "alignment_parts",
+    f"""with recursive seqs as (select p_partkey as id, {VALID_SQL.format(c="p_name")} as a, {VALID_SQL.format(c="p_type")} as b from part), {_alignment_sql()},
+        top as (select id, max(best) as best from dp group by 1)
+        select id, coalesce(round(case when best % {A.IDENTICAL} > 0 then 100.0 * (best // {A.IDENTICAL} % {A.IDENTICAL}) / (best % {A.IDENTICAL}) else 0 end, 6), 0) as identity,
+            coalesce(cast(best // {A.SCORE} as double), 0) as score from seqs left join top using (id)""",
+)
+def alignment_parts(spark, sf):
+    """Name against type of every part; texts without a residue score 0."""
+    p = readers.read_table(spark, sf, "part")
+    side = lambda k: F.struct("p_partkey", F.lit(k).alias("side"))
+    seqs = p.select(F.explode(F.array(*[F.struct(side(k).alias("id"), T.valid_residues(c).alias("seq")) for k, c in enumerate(("p_name", "p_type"))])).alias("s")).select("s.*")
+    found = A.alignment_scores(p.select(side(0).alias("a"), side(1).alias("b")), "a", "b", seqs)
+    return found.select(F.col("id_a.p_partkey").alias("id"), F.round("identity", 6).alias("identity"), "score")
+
+
 @query("alignment_summary")
 def alignment_summary(spark, sf):
     seqs, pairs = _turns(spark, sf)
