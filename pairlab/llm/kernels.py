@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20  # text handled at once by a numpy kernel
 SPACES = b" \t\n\x0b\x0c\r"
-R = 0x9E3779B97F4A7C15 | 1
-R_INVERSE = pow(R, -1, 1 << 64)
+K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG = 1024  # bytes of a range that are hashed in step with others
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def lower_table() -> bytes:
@@ -56,29 +60,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Powers:
-    """Powers of an odd number modulo 2^64 and of its inverse, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    @staticmethod
-    def _powers(r: int, n: int) -> np.ndarray:
-        x = np.full(n, r, np.uint64)
-        x[0] = 1
-        return np.cumprod(x, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            with np.errstate(over="ignore"):
-                self.up, self.down = (self._powers(r, n) for r in (R, R_INVERSE))
-        return self.up, self.down
-
-
-POWERS = Powers()
-
-
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word; ``is_word`` says it for each byte value. Words end with their row."""
     inside = is_word[data]
@@ -98,14 +79,52 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return starts, ends, rows
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word: its polynomial over the bytes, mixed with its length."""
-    up, down = POWERS.get(len(data) + 1)
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place as a number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each byte range: eight bytes at a time are mixed in, after its length.
+
+    Ranges longer than ``LONG`` bytes are few and go through xxhash one by one.
+    """
+    out = mix((ends - starts).astype(np.uint64) + np.uint64(seed) * K2)
+    at, left, live = starts.astype(np.int64), (ends - starts).astype(np.int64), np.flatnonzero(ends - starts <= LONG)
+    view = eights(data)
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]], seed)
+    at, left = at[live], left[live]
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-        value = (total[ends] - total[starts]) * down[starts]
-        return mix(value ^ mix((ends - starts).astype(np.uint64)))
+        h = out[live]
+        while len(live):
+            more = left > 0
+            if not more.all():
+                out[live[~more]] = h[~more]
+                live, at, left, h = live[more], at[more], left[more], h[more]
+                if not len(live):
+                    break
+            eight = view[at] & MASKS[np.minimum(left, 8)]
+            h = (h ^ eight) * K1
+            h ^= h >> np.uint64(32)
+            h *= K2
+            h ^= h >> np.uint64(29)
+            at, left = at + 8, left - 8
+    return out
+
+
+def free_memory() -> None:
+    """Gives the memory of finished batches back: Python workers live on for other stages."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
+def packed(docs: DataFrame, *apart: str) -> DataFrame:
+    """``_user``: a struct of all columns but those in ``apart``, then these; no added name can clash with the user's."""
+    keep = [c for c in docs.columns if c not in apart]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_user"), *[F.col(f"`{c}`") for c in apart])
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairlab.llm.kernels import lower_table, mix, slices, text_bytes, without, word_hashes, word_spans
+from pairlab.llm.kernels import lower_table, mix, slices, text_bytes, without, range_hashes, word_spans
 from pairlab.operators.graph import connected_components
 from pairlab.session import truncate_lineage
 
@@ -61,7 +61,7 @@ def shingle_sets(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarr
     n_rows = len(offsets) - 1
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n_rows + 1, np.int64)
-    h = word_hashes(data, starts, ends)
+    h = range_hashes(data, starts, ends)
     count = np.bincount(rows, minlength=n_rows)
     first = np.concatenate([[0], np.cumsum(count)])
     length = np.minimum(WORDS, count)

@@ -16,7 +16,8 @@ windows with one anchor form its context, about 85 windows in 285 bytes.
    counting 128-bit fingerprints of their windows, pre-aggregated before the shuffle.
 3. Covered stretches go back to their documents.
 
-Lead and context hashes have 64 bits each, and both must agree.
+Lead and context hashes have 64 bits each, of different kinds, and both must agree. Texts are
+looked at in pieces of ``PIECE`` windows, so a long one takes no more memory than a short one.
 """
 
 from __future__ import annotations
@@ -31,30 +32,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlab.llm.kernels import POWERS, mix, slices, text_bytes, without
+from pairlab.llm.kernels import K1, K2, eights, free_memory, mix, packed, range_hashes, slices, text_bytes, without
 from pairlab.session import truncate_lineage
 
 LENGTH, LEAD = 200, 48
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+PIECE = 1 << 18  # windows of a long text that are looked at together
 CHUNK_WINDOWS = 500_000  # windows sorted at once
 BROADCAST_CONTEXTS = 1_000_000  # places of contexts, about 120 bytes each
 CROWDED_WINDOWS = 500_000  # leads with more windows than that are compared across buckets
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def _prefix(data: np.ndarray, salt: int = 1) -> np.ndarray:
-    up, _ = POWERS.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + np.uint64(salt)) * up[: len(data)], out=total[1:])
-    return total
+def sliding_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hash of the ``width`` (8 or more) bytes from every place: windows of 8, 16, 32 ... are joined and mixed."""
 
+    def join(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        z = x * K1 + y
+        z ^= z >> np.uint64(31)
+        z *= K2
+        return z
 
-def _hash(total: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
-    """Shift-free polynomial hashes of byte ranges from their prefix sums."""
-    _, down = POWERS.get(len(total))
     with np.errstate(over="ignore"):
-        return mix((total[end] - total[start]) * down[: len(total)][start])
+        parts = {8: join(eights(data)[: len(data) - 7], np.uint64(8))}
+        span = 8
+        while 2 * span <= width:
+            parts[2 * span] = join(parts[span][:-span], parts[span][span:])
+            span *= 2
+        n = len(data) - width + 1
+        out, done = parts[span][:n], span
+        if done < width:  # the last bytes once more, in a window that overlaps
+            rest = max(k for k in parts if k <= width - done) if width - done >= 8 else 8
+            while done < width:
+                at = min(done, width - rest)
+                out = join(out, parts[rest][at : at + n])
+                done = at + rest
+        return mix(out)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -66,35 +79,49 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, lead: int = LEAD) -> tuple[np.ndarray, ...]:
-    """(row, lead hash, context hash, first window, number of windows) of every anchor of the rows."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
-    if len(data) < length:
-        return none
-    total = _prefix(data)
-    n = len(data) - lead + 1
-    h = _hash(total, slice(0, n), slice(lead, lead + n))
-    place = np.uint64((1 << 24) - 1)  # a slice is shorter than 2^24, or one text: see below
-    at = np.arange(n, dtype=np.uint64)
-    key = (h & ~place) | (at & place)
-    low = _sliding_min(key, length - lead + 1)
-    # a text longer than 2^24 bytes: places wrap, which only splits a run or prefers another equal lead
-    p = np.arange(len(low))
-    anchor = p + ((low & place).astype(np.int64) - p) % (1 << 24)
+def pieces_of(offsets: np.ndarray, length: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of stretches of at most ``piece`` windows that together hold every window of every row once."""
+    windows = np.maximum(np.diff(offsets) - length + 1, 0)
+    n = -(-windows // piece)
+    rows = np.repeat(np.arange(len(n)), n)
+    first = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * piece
+    return rows, offsets[rows] + first, offsets[rows] + np.minimum(first + piece, windows[rows]) + length - 1
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, lead: int = LEAD, piece: int = PIECE) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, lead hash, context hash, first window, number of windows) of every anchor of the rows.
+
+    Long rows come in pieces: a context that crosses the border of two is parted there, which
+    only makes it differ from its equals as a whole.
+    """
+    rows, begin, end = pieces_of(offsets, length, piece)
+    size = end - begin
+    k = 0
+    while k < len(rows):
+        stop = max(k + 1, int(np.searchsorted(np.cumsum(size[k:]), piece + length, "right")) + k)
+        at = np.repeat(begin[k:stop] - np.concatenate([[0], np.cumsum(size[k:stop])[:-1]]), size[k:stop]) + np.arange(size[k:stop].sum())
+        local = np.concatenate([[0], np.cumsum(size[k:stop])])
+        row, h, x, first, count = _anchors(data[at], local, length, lead)
+        yield rows[k:stop][row], h, x, first + (begin - offsets[rows])[k:stop][row], count
+        k = stop
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, lead: int) -> tuple[np.ndarray, ...]:
+    """The same for rows of at least ``length`` bytes that fit into memory together (fewer than 2^24 bytes)."""
+    h = sliding_hashes(data, lead)
+    place = np.uint64((1 << 24) - 1)
+    key = (h & ~place) | np.arange(len(h), dtype=np.uint64)
+    anchor = (_sliding_min(key, length - lead + 1) & place).astype(np.int64)
     size = np.diff(offsets)
-    ends = np.repeat(offsets[1:], size)[: len(low)]
-    begins = np.repeat(offsets[:-1], size)[: len(low)]
-    valid = p + length <= ends
+    p = np.arange(len(anchor))
+    valid = p + length <= np.repeat(offsets[1:], size)[: len(anchor)]
     first = valid.copy()
-    first[1:] &= ~valid[:-1] | (anchor[1:] != anchor[:-1]) | (begins[1:] != begins[:-1])
+    first[1:] &= ~valid[:-1] | (anchor[1:] != anchor[:-1])
+    first[offsets[:-1]] = True  # every row has a window
     starts = np.flatnonzero(first)
-    if not len(starts):
-        return none
-    last = np.append(starts[1:], len(low))
-    count = np.add.reduceat(valid, starts) if len(starts) else last
+    count = np.add.reduceat(valid, starts)
     a = anchor[starts]
-    with np.errstate(over="ignore"):
-        x = _hash(total, starts, starts + count - 1 + length) ^ mix(((a - starts) * 65536 + count).astype(np.uint64))
+    x = range_hashes(data, starts, starts + count - 1 + length) ^ mix(((a - starts) * 65536 + count).astype(np.uint64))
     rows = np.searchsorted(offsets, starts, "right") - 1
     return rows, h[a], x, starts - offsets[rows], count
 
@@ -136,10 +163,11 @@ def _anchor_rows(docs: DataFrame, text: str, length: int, lead: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, text, SLICE_BYTES):
-                rows, h, x, start, n = anchors(*text_bytes(b.column(text)), length, lead)
-                ids = b.column("_row").to_numpy()[rows]
-                cols = [ids, h.view(np.int64), x.view(np.int64), start.astype(np.int32), n.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_row", "h", "x", "start", "n"])
+                for rows, h, x, start, n in anchors(*text_bytes(b.column(text)), length, lead):
+                    ids = b.column("_row").to_numpy()[rows]
+                    cols = [ids, h.view(np.int64), x.view(np.int64), start.astype(np.int32), n.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_row", "h", "x", "start", "n"])
+        free_memory()
 
     return docs.select("_row", text).mapInArrow(run, "_row bigint, h bigint, x bigint, start int, n int")
 
@@ -230,7 +258,7 @@ def _across_buckets(contexts: DataFrame, length: int) -> DataFrame:
             for at_row in range(0, whole.num_rows, 2000):
                 b = whole.slice(at_row, 2000)
                 data, at, owner, place = _windows(b)
-                f, g = (_hash(_prefix(data, salt), at, at + length) for salt in (1, 131))
+                f, g = (range_hashes(data, at, at + length, seed) for seed in (1, 2))
                 cols = [b.column("h").to_numpy()[owner], f.view(np.int64), g.view(np.int64), b.column("copies").to_numpy()[owner], b.column("_row").to_numpy()[owner], place]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "f", "g", "copies", "_row", "place"])
 
@@ -244,7 +272,8 @@ def repeated(docs: DataFrame, text: str, length: int = LENGTH, lead: int = LEAD)
     """(_row, spans): the covered stretches of every row (column ``_row``) that has any; they may touch or overlap."""
     found = _anchor_rows(docs, text, length, lead)
     leads = found.groupBy("h").agg(F.count("*").alias("k"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    leads = leads.filter("k > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed"))
+    # written, so that the join below reads two plain shuffles and a hot lead can be split
+    leads = truncate_lineage(leads.filter("k > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")))
     again = truncate_lineage(found.join(leads, "h"))
     mixed = again.filter("mixed")
     contexts = mixed.groupBy("h", "x").agg(F.count("*").alias("copies"), F.min(F.struct("_row", "start", "n")).alias("one"))
@@ -283,10 +312,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, le
     long nothing stays. ``docs`` must give the same rows in the same order each time it is
     read (a table, a checkpoint). Columns with the added names are replaced.
     """
-    docs = without(docs, "removed_spans", "kept").withColumn("_row", F.monotonically_increasing_id())
-    keep = [c for c in docs.columns if c not in (text, "_row")]
+    keep = without(docs, "removed_spans", "kept", text).columns
+    docs = packed(docs.select(*[F.col(f"`{c}`") for c in keep], text), text).withColumn("_row", F.monotonically_increasing_id())
     joined = docs.join(repeated(docs.select("_row", text), text, length, lead), "_row", "left")
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("removed_spans", SPANS), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([docs.schema["_user"], T.StructField("removed_spans", SPANS), T.StructField("kept", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -298,20 +327,24 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, le
                     at = [0, *[x for s in cut for x in s], len(t)]
                     left.append(b"".join(t[at[k] : at[k + 1]] for k in range(0, len(at), 2)))
                     gone.append([{"start": s, "end": e} for s, e in cut])
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(gone, kind), pa.array(left, pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([b.column("_user"), pa.array(gone, kind), pa.array(left, pa.binary())], schema.names)
+        free_memory()
 
-    return joined.select(*keep, text, "spans").mapInArrow(run, schema)
+    return joined.select("_user", text, "spans").mapInArrow(run, schema).select("_user.*", "removed_spans", "kept")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Pipeline form: documents with the remaining text, in their own columns.
 
     A cut inside a character takes the rest of the character along. Documents of which
-    nothing but white space remains go, if something was removed; all others stay.
+    nothing but white space remains go, if something was removed; all others stay, repeated
+    rows, null and empty texts too. ``n_chars`` follows the text where that column exists.
     """
-    found = remove_repeats(docs.withColumn("_null", F.col("text").isNull()))
+    names = docs.columns
+    found = remove_repeats(docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("rest"), F.col("text").isNull().alias("none"), "text"))
     changed = F.size("removed_spans") > 0
     left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
-    whole = F.when(changed, left).when(~F.col("_null"), F.col("kept").cast("string"))
-    out = found.withColumn("text", whole).filter(~changed | (F.trim("text") != ""))
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    whole = F.when(changed, left).when(~F.col("none"), F.col("kept").cast("string"))
+    out = found.select("rest", whole.alias("now"), changed.alias("changed")).filter("not changed or trim(now) <> ''")
+    size = {c: F.char_length("now").cast(docs.schema[c].dataType) for c in names if c == "n_chars"}
+    return out.select(*[F.col("now").alias(c) if c == "text" else size.get(c, F.col("rest").getField(c)).alias(c) for c in names])
