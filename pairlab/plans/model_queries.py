@@ -8,6 +8,7 @@ from pairlab.functions.evidence import bucket_weight, evidence_bucket
 from pairlab.operators import evaluate as M
 from pairlab.operators import features as H
 from pairlab.operators import models as C
+from pairlab.operators import perceptron as W
 from pairlab.operators import ranking as K
 from pairlab.operators import resolve as R
 from pairlab.operators import sampling as N
@@ -113,8 +114,11 @@ def gbt_pairs(spark, sf):
 
 @query("mlp_pairs")
 def mlp_pairs(spark, sf):
+    """Held-out metrics of the weighted perceptron: scaled features, stratified validation rows, early stop."""
     data = _ready(spark, sf)
-    return _metrics(truncate_lineage(_scored_test(C.fit_mlp(data.part("train"), "class_weight", ["id_a", "id_b"]), data)))
+    model = W.fit_perceptron(data.part("train"), "class_weight", ["id_a", "id_b"], C.HIDDEN_LAYERS, 40)
+    test = data.part("test").select("id_a", "id_b", "label", "features")
+    return _metrics(truncate_lineage(W.predict_perceptron(model, test).drop("features")))
 
 
 @query("mlp_pairs_evidence")
@@ -128,9 +132,9 @@ def mlp_pairs_evidence(spark, sf):
     rows = cross_split_drop(pos.unionByName(neg), "id_a", "id_b", splits)
     rows = truncate_lineage(rows.select("id_a", "id_b", "label", "weight", "split"))
     train = truncate_lineage(H.feature_matrix(C.with_balanced_weight(rows.filter("split = 'train'"), times="weight"), "id_a", "id_b", v))
-    model = C.fit_mlp(train, "class_weight", ["id_a", "id_b"])
+    model = W.fit_perceptron(train, "class_weight", ["id_a", "id_b"], C.HIDDEN_LAYERS, 40)
     test = H.feature_matrix(rows.filter("split = 'test'"), "id_a", "id_b", v)
-    return _metrics(truncate_lineage(C.predict(model, test.select("id_a", "id_b", "label", "features")).drop("features")))
+    return _metrics(truncate_lineage(W.predict_perceptron(model, test.select("id_a", "id_b", "label", "features")).drop("features")))
 
 
 def _bags(spark, sf, bags):
