@@ -8,17 +8,18 @@ from pairlab.functions import text as T
 from pairlab.operators import alignment as A
 from pairlab.operators import features as H
 from pairlab.operators import ranking as K
+from pairlab.operators import reports as P
 from pairlab.operators import sampling as N
 from pairlab.operators import similarity as S
 from pairlab.operators import sparse as Y
 from pairlab.operators import tokens as U
 from pairlab.operators import translation as Z
 from pairlab.operators.rows import canonical_pair
-from pairlab.operators.split import cross_split_drop
+from pairlab.operators.split import cross_split_drop, split_loco
 from pairlab.plans.catalogue_queries import VALID_SQL
 from pairlab.plans.registry import query
 from pairlab.plans.retrieval import evaluate
-from pairlab.plans.retrieval_queries import METRIC_COLS, r6, splits
+from pairlab.plans.retrieval_queries import METRIC_COLS, components, r6, splits
 from pairlab.plans.sampling_queries import NUM_SQL, TRIPLET_SQL, _directed
 from pairlab.session import truncate_lineage
 from pairlab.sources import fixtures as X
@@ -331,3 +332,16 @@ def embedding_translation(spark, sf):
     train, test = (cross_split_drop(gold, "id_1", "id_2", sp).filter(F.col("split") == k).drop("split") for k in ("train", "test"))
     w = Z.fit_translation(K.directed_examples(train), v)
     return r6(K.hits_mrr(Z.rank_translated(K.bidirectional_queries(test), v, w)), *METRIC_COLS)
+
+
+@query("loco_translated")
+def loco_translated(spark, sf):
+    """Leave-one-component-out: cosine against the map that was fitted without the query's component, over all folds."""
+    gold, v = X.gold(spark, sf), X.vectors(spark, sf)
+    folds = truncate_lineage(split_loco(components(spark, sf)).select("id", "fold"))
+    q = truncate_lineage(K.bidirectional_queries(gold).select("pair_id", "direction", "query_id", "target_id"))
+    keys = ["pair_id", "direction", "query_id", "target_id"]
+    by_map = Z.rank_left_out(q, v, K.directed_examples(gold), folds).select(*keys, F.col("rank").alias("translated_rank"))
+    both = S.rank_targets(q, v).select(*keys, F.col("rank").alias("cosine_rank")).join(by_map, keys)
+    out = P.loco_compare(both.join(folds.withColumnRenamed("id", "query_id"), "query_id"), "cosine", "translated")
+    return r6(out, *[c for c in out.columns if c not in ("n_folds", "n_queries", "wins", "verdict")])
