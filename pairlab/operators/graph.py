@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from pairlab.session import truncate_lineage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+EDGES_PER_TASK = 200_000  # small graphs are kept in few partitions: every shuffle of a round writes files for each
+
+
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Link every larger neighbour of u to the smallest id around u."""
     both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("m").alias("u"), "v").distinct()
+    return both.filter("v > u").join(low, "u").select(F.col("m").alias("u"), "v").coalesce(tasks).distinct().coalesce(tasks)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Link u and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
     low = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(low, "u").select(F.col("m").alias("u"), "v").filter("u <> v")
-    return moved.unionByName(low.select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct()
+    return moved.unionByName(low.select(F.col("m").alias("u"), F.col("u").alias("v"))).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def _all_stars(edges: DataFrame) -> bool:
@@ -44,8 +47,10 @@ def connected_components(
     edges = truncate_lineage(
         pairs.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
     )
+    tasks = 1 + edges.count() // EDGES_PER_TASK  # no more than that; a larger number of partitions than there is stays
+    edges = edges.coalesce(tasks)
     for _ in range(max_rounds):
-        edges = truncate_lineage(_small_star(_large_star(edges)))
+        edges = truncate_lineage(_small_star(_large_star(edges, tasks), tasks))
         if _all_stars(edges):
             break
     else:
