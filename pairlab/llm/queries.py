@@ -32,27 +32,41 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _em_sql() -> str:
-    """Votes and expectation-maximisation over the metrics table ``m`` in DuckDB."""
-    rules = list(quality.RULES.items())
-    votes = ",\n".join(f"case when {bad} then -1 when {good} then 1 else 0 end as v{k}" for k, (_, (good, bad)) in enumerate(rules))
-    names = ", ".join(f"v{k}" for k in range(len(rules)))
-    odds = " + ".join(
-        ["ln(s.pi / (1 - s.pi))"]
-        + [f"case v{k} when 1 then ln(s.a[{k + 1}] / (1 - s.b[{k + 1}])) when -1 then ln((1 - s.a[{k + 1}]) / s.b[{k + 1}]) else 0 end" for k in range(len(rules))]
+    """Votes and expectation-maximisation over the metrics table ``m`` in DuckDB: s.s holds the shares, s.p the chances of a good vote (rule by rule, all classes)."""
+    rules = list(quality.RULES.values())
+    of = quality.class_numbers([kind for kind, _, _ in rules])
+    n, last, w = len(rules), max(of), quality.PRIOR_ROWS
+    classes, each = range(last + 1), range(n)
+    votes = ",\n".join(f"case when {bad} then -1 when n_words >= {quality.LEAST_WORDS} and ({good}) then 1 else 0 end as v{k}" for k, (_, good, bad) in enumerate(rules))
+    names = ", ".join(f"v{k}" for k in each)
+    p = lambda k, c: f"s.p[{k * (last + 1) + c + 1}]"
+    odds = [
+        " + ".join([f"ln(s.s[{c + 1}] / s.s[1])", *[f"case v{k} when 1 then ln({p(k, c)} / {p(k, 0)}) when -1 then ln((1 - {p(k, c)}) / (1 - {p(k, 0)})) else 0 end" for k in each]])
+        for c in classes[1:]
+    ]
+    parts = ", ".join(f"exp({x}) as e{c}" for c, x in enumerate(odds, 1))
+    good = "1 / (1.0 + " + " + ".join(f"e{c}" for c in classes[1:]) + ")"
+    g = lambda c: "n * g" if c == 0 else f"n * g * e{c}"
+    share = [quality.PRIOR_GOOD, *[(1 - quality.PRIOR_GOOD) / last] * last]
+    prior = [[1 - quality.PRIOR_RIGHT[1] if c == own else quality.PRIOR_RIGHT[0] for c in classes] for own in of]
+    new_s = ", ".join(f"(sum({g(c)}) + {w} * {share[c]!r}) / (sum(n) + {w})" for c in classes)
+    raw = ", ".join(
+        f"(coalesce(sum({g(c)}) filter (v{k} = 1), 0) + {w} * {prior[k][c]!r}) / (coalesce(sum({g(c)}) filter (v{k} <> 0), 0) + {w}) as p{k}_{c}" for k in each for c in classes
     )
-    prior = [f"{quality.PRIOR_ROWS} * {x}" for x in quality.PRIOR_RIGHT]
-    a = ", ".join(f"greatest({quality.LEAST_RIGHT}, (coalesce(sum(n * g) filter (v{k} = 1), 0) + {prior[0]}) / (coalesce(sum(n * g) filter (v{k} <> 0), 0) + {quality.PRIOR_ROWS}))" for k in range(len(rules)))
-    b = ", ".join(f"(coalesce(sum(n * (1 - g)) filter (v{k} = -1), 0) + {prior[1]}) / (coalesce(sum(n * (1 - g)) filter (v{k} <> 0), 0) + {quality.PRIOR_ROWS})" for k in range(len(rules)))
-    start = [", ".join([f"{x}::double"] * len(rules)) for x in quality.PRIOR_RIGHT]
+    tied = ", ".join(
+        f"case when p{k}_{of[k]} > p{k}_0 then (p{k}_{of[k]} + p{k}_0) / 2 else p{k}_{c} end" if c in (0, of[k]) else f"p{k}_{c}" for k in each for c in classes
+    )
+    start = ", ".join(f"{x!r}::double" for row in prior for x in row)
     return f"""
 votes as (select *, {votes} from m),
 pat as (select {names}, count(*)::double as n from votes group by all),
 em as (
-  select 0 as step, {quality.PRIOR_GOOD}::double as pi, [{start[0]}] as a, [{start[1]}] as b
+  select 0 as step, [{", ".join(f"{x!r}::double" for x in share)}] as s, [{start}] as p
   union all
-  select step + 1, (sum(n * g) + {quality.PRIOR_ROWS} * {quality.PRIOR_GOOD}) / (sum(n) + {quality.PRIOR_ROWS}), [{a}], [{b}]
-  from (select s.step, pat.*, 1 / (1 + exp(-({odds}))) as g from em s, pat where s.step < {quality.ROUNDS}) group by step),
-q as (select votes.*, 1 / (1 + exp(-({odds}))) as quality from votes, (select * from em where step = {quality.ROUNDS}) s)"""
+  select step + 1, s, [{tied}] from (
+    select step, [{new_s}] as s, {raw}
+    from (select *, {good} as g from (select s.step, pat.*, {parts} from em s, pat where s.step < {quality.ROUNDS})) group by step)),
+q as (select *, {good} as quality from (select votes.*, {parts} from votes, (select * from em where step = {quality.ROUNDS}) s))"""
 
 
 @query(
