@@ -11,10 +11,11 @@ A band has more parts than needed (``MARGIN``): similar sets agree on several, s
 leave out some signatures without losing a partner. All sets leave out in one order: empty
 parts by number and then, most frequent first, the signatures that more than ``FREQUENT``
 sets share (passages that many documents have), so the last one in this order that two
-similar sets share is kept by both. The frequent signatures that it must keep: first it is held against the
-smallest other set that keeps the signature; where that leaves a signature with several
-components, the members are compared in blocks. No group is cut, and all its pairs
-are only looked at where its members are neither alike nor told apart before.
+similar sets share is kept by both. For the frequent signatures that it must keep, a set is held
+against the smallest member first. Then comes a contraction: in every signature with several
+components, all members outside its largest component are held against a few members of
+that component. What is left outside is compared with all members of other components in blocks. So a large
+family of near copies costs two linear passes, and only its outliers meet it pair by pair.
 
 Equal sets are one set throughout. Candidates are dropped when coarse counts of their
 shingles prove too large a difference; the rest are verified on the whole sets.
@@ -23,7 +24,6 @@ shingles prove too large a difference; the rest are verified on the whole sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pairlab.llm.kernels import lower_table, mix, slices, text_bytes, without, range_hashes, word_spans
+from pairlab.llm.kernels import free_memory, lower_table, mix, packed, range_hashes, slices, text_bytes, without, word_spans
 from pairlab.operators.graph import connected_components
 from pairlab.session import truncate_lineage
 
@@ -41,7 +42,8 @@ MARGIN = 1.15
 FREQUENT = 16
 SKETCH = 64  # least number of classes
 BLOCK = 512
-SLICE_BYTES = 2 << 20
+PIVOTS = 8  # members that a signature's minor members are held against before the blocks
+SLICE_BYTES = 1 << 20
 RANGES = 8  # ranges of parts that a band's signatures are dealt to
 GROUP_SIGNATURES = 1_000_000  # about the most signatures of one group: ranges are split by signature bits to get there
 BROADCAST_ROWS = 500_000  # pairs of row number and set name, 16 bytes each
@@ -165,7 +167,8 @@ def signatures(value: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np
 def describe(docs: DataFrame, text: str) -> DataFrame:
     """Every row with n_shingles, set_id (null without words) and sketch, without the text."""
     keep = [c for c in docs.columns if c != text]
-    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], "n_shingles bigint, set_id bigint, sketch binary"])
+    added = [T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("sketch", T.BinaryType())]
+    schema = T.StructType([*[docs.schema[c] for c in keep], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -173,7 +176,8 @@ def describe(docs: DataFrame, text: str) -> DataFrame:
                 value, offsets = shingle_sets(b, text)
                 n = np.diff(offsets)
                 cols = [pa.array(n), pa.array(set_ids(value, offsets), mask=n == 0), pa.array(sketches(value, offsets), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *cols], [*keep, "n_shingles", "set_id", "sketch"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *cols], schema.names)
+        free_memory()
 
     return docs.mapInArrow(run, schema)
 
@@ -245,6 +249,7 @@ def _signed(docs: DataFrame, text: str, splits: list[int], frequent: int) -> Dat
                 if out:
                     cols = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], [x.split()[0] for x in PACKED.split(", ")])
+        free_memory()
 
     packed = docs.select(text).mapInArrow(run, PACKED)
     lot = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(splits, default=1)))
@@ -307,6 +312,7 @@ def _bucket_pairs(frequent: int, splits: list[int]):
         place = bucket if bucket >= 0 else -1 - bucket
         name = mix(sig[hot] ^ mix(np.full(int(hot.sum()), place, np.uint64))).view(np.int64)  # alike in the buckets of either sign
         rest = pd.DataFrame({"sig": name, "set_id": sets[o], "size": sizes[o], "spare": spares[o], "band": int(np.searchsorted(base, place, "right")) - 1})
+        free_memory()
         # nullable integers before the columns are filled up: 64-bit names must not pass through floats
         full = [x.astype("Int64").reindex(columns=names).astype("Int64") for x in (found, rest)]
         return pd.concat(full)
@@ -333,9 +339,12 @@ def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return truncate_lineage(coarse.mapInArrow(differ, "a bigint, b bigint, sa int, sb int"))
 
 
-def _elements(pairs: DataFrame, facts: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
-    """(k, elements): the whole sets that occur in ``pairs``, each from one of its documents."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+
+
+def _elements(wanted: DataFrame, facts: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
+    """(k, elements): the whole sets named in ``wanted`` (set_id), each from one of its documents."""
     rows = truncate_lineage(facts.join(wanted, "set_id").select("set_id", F.col("one").alias(row)))
     if rows.count() <= BROADCAST_ROWS:  # else the texts are shuffled to them
         rows = F.broadcast(rows)
@@ -346,12 +355,16 @@ def _elements(pairs: DataFrame, facts: DataFrame, docs: DataFrame, row: str, tex
                 value, offsets = shingle_sets(b, text)
                 got = [value[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("set_id"), pa.array(got, pa.binary())], ["k", "elements"])
+        free_memory()
 
     return truncate_lineage(docs.select(row, text).join(rows, row).select("set_id", text).mapInArrow(sets, "k bigint, elements binary"))
 
 
 def _similar(pairs: DataFrame, side: DataFrame) -> DataFrame:
     """The pairs (a, b) with a similarity of 3/4 or more, on whole sets."""
+    needed = truncate_lineage(_ends(pairs).select(F.col("set_id").alias("k")))
+    if needed.count() <= BROADCAST_ROWS:  # else all sets are shuffled to their pairs
+        side = side.join(F.broadcast(needed), "k", "left_semi")
     both = pairs.join(side, F.col("a") == F.col("k")).drop("k").withColumnRenamed("elements", "x")
     both = both.join(side, F.col("b") == F.col("k")).drop("k").withColumnRenamed("elements", "y")
 
@@ -369,50 +382,97 @@ def _similar(pairs: DataFrame, side: DataFrame) -> DataFrame:
     return truncate_lineage(both.mapInArrow(similar, "a bigint, b bigint"))
 
 
+def _merged(linked: DataFrame, links: DataFrame) -> DataFrame:
+    """``linked`` (set_id, component) after further links (a, b): only the components between them are joined anew."""
+    ends = truncate_lineage(_ends(links).join(linked, "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component")))
+    side = lambda k, c: ends.select(F.col("set_id").alias(k), F.col("component").alias(c))
+    joined = connected_components(links.join(side("a", "x"), "a").join(side("b", "y"), "b"), "x", "y")
+    joined = joined.select(F.col("id").alias("component"), F.col("component").alias("now"))
+    every = linked.unionByName(ends.join(linked, "set_id", "left_anti"))
+    return truncate_lineage(every.join(joined, "component", "left").select("set_id", F.coalesce("now", "component").alias("component")))
+
+
 def _links(pairs: DataFrame, facts: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
-    """Enough similar pairs of ``pairs`` to connect all that its similar pairs connect.
+    """(set_id, component) of the sets that the similar ones of ``pairs`` connect.
 
     First each set is held against its smallest partner; the pairs that are left between
     different components are then verified one and all.
     """
     maybe = _plausible(pairs, facts)
-    side = _elements(maybe, facts, docs, row, text)
+    side = _elements(_ends(maybe), facts, docs, row, text)
     near = _similar(maybe.groupBy("b").agg(F.min("a").alias("a")), side)
-    linked = truncate_lineage(connected_components(near, "a", "b"))
+    linked = truncate_lineage(connected_components(near, "a", "b").withColumnRenamed("id", "set_id"))
     for end in ("a", "b"):
-        maybe = maybe.join(linked.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}")), end, "left")
-    open_ = maybe.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    return near.unionByName(_similar(open_, side))
+        maybe = maybe.join(linked.select(F.col("set_id").alias(end), F.col("component").alias(f"c_{end}")), end, "left")
+    more = _similar(maybe.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"), side)
+    return linked if more.isEmpty() else _merged(linked, more)
+
+
+def _open(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members of signatures with several components; ``minor`` are those outside the largest one."""
+    members = truncate_lineage(members.join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")))
+    parts = members.groupBy("sig", "component").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("sig").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1")
+    marked = members.join(largest.select("sig", F.col("top.component").alias("major")), "sig")
+    return truncate_lineage(marked.select("sig", "set_id", "size", "component", (F.col("component") != F.col("major")).alias("minor")))
+
+
+def _pivot_pairs(open_: DataFrame) -> DataFrame:
+    """Minor members with ``PIVOTS`` members of the largest component of their signature."""
+    pick = F.struct(F.xxhash64("set_id", F.lit(1)).alias("h"), "set_id", "size")
+    pivot = open_.filter("not minor").groupBy("sig", F.pmod(F.xxhash64("set_id"), F.lit(PIVOTS))).agg(F.min(pick).alias("p")).select("sig", "p")
+    pairs = open_.filter("minor").join(pivot, "sig").filter("7 * abs(size - p.size) <= size + p.size")
+    low = F.col("set_id") < F.col("p.set_id")
+    end = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
+    return pairs.select(end("set_id", "p.set_id").alias("a"), end("p.set_id", "set_id").alias("b"), end("size", "p.size").alias("sa"), end("p.size", "size").alias("sb")).distinct()
 
 
 def _block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components inside each signature, in blocks of about ``BLOCK`` members."""
-    size = members.groupBy("sig").agg(F.count("*").alias("n"))
-    n = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    placed = members.join(size, "sig").withColumn("k", n).withColumn("at", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    spread = spread.select("sig", F.least("at", "other").alias("p"), F.greatest("at", "other").alias("q"), "at", "set_id", "size", "component", "sketch")
+    """Minor members with all members of other components of their signature, in blocks of about ``BLOCK`` by ``BLOCK``."""
+    size = truncate_lineage(members.groupBy("sig").agg(F.count("*").alias("n"), F.count_if("minor").alias("m")))
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+    placed = members.join(size, "sig").withColumns({"down": blocks("n"), "across": blocks("m")})
+    at = lambda k: F.pmod(F.xxhash64("set_id"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    columns = ["sig", "p", "q", "minor", "asks", "set_id", "size", "component", "sketch"]
+    left = placed.filter("minor").withColumns({"p": at("across"), "asks": F.lit(True)}).withColumn("q", every("down"))
+    right = placed.withColumns({"q": at("down"), "asks": F.lit(False)}).withColumn("p", every("across"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        p, q = part["p"].iloc[0], part["q"].iloc[0]
-        left = part[part["at"] == p]
-        right = part[part["at"] == q]
+        left, right = part[part["asks"]], part[~part["asks"]]
         width = int(part["sketch"].map(len).min())
         x, y = (np.array([fold(k, width) for k in s["sketch"]]).reshape(-1, width) for s in (left, right))
         x0, y0 = (k.reshape(-1, width // SKETCH, SKETCH).sum(1) for k in (x, y))
         sx, sy = (s["size"].to_numpy(np.int64) for s in (left, right))
         ix, iy, cx, cy = (s[c].to_numpy(np.int64) for c in ("set_id", "component") for s in (left, right))
+        once = ~right["minor"].to_numpy(bool)  # two minor members meet twice
         out = [_pair_rows(*[np.zeros(0, np.int64)] * 4)]
         for i in range(len(left)):
-            ok = (cy != cx[i]) & (7 * np.abs(sy - sx[i]) <= sy + sx[i])
+            ok = (cy != cx[i]) & (once | (iy > ix[i])) & (7 * np.abs(sy - sx[i]) <= sy + sx[i])
             for u, v in ((x0, y0), (x, y)):  # a coarse count first
                 ok[ok] = 7 * np.abs(v[ok] - u[i]).sum(1) <= sy[ok] + sx[i]
             k = np.flatnonzero(ok)
             out.append(_pair_rows(np.full(len(k), ix[i]), iy[k], np.full(len(k), sx[i]), sy[k]))
-        found = pd.concat(out).drop_duplicates()
-        return found[found["a"] != found["b"]]
+        return pd.concat(out)
+
+    both = left.select(*columns).unionByName(right.select(*columns))
+    return both.groupBy("sig", "p", "q").applyInPandas(run, "a bigint, b bigint, sa int, sb int").distinct()
 
-    return spread.groupBy("sig", "p", "q").applyInPandas(run, "a bigint, b bigint, sa int, sb int").distinct()
+
+def _contracted(members: DataFrame, linked: DataFrame, tried: DataFrame, facts: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
+    """``linked`` with the links between members of frequent signatures that were in different components."""
+    open_ = _open(members, linked)
+    if open_.isEmpty():
+        return linked
+    sets = truncate_lineage(facts.join(open_.select("set_id").distinct(), "set_id"))
+    side = _elements(sets.select("set_id"), sets, docs, row, text)
+    near = _similar(_plausible(_pivot_pairs(open_), sets), side)
+    if not near.isEmpty():
+        linked = _merged(linked, near)
+        open_ = _open(open_.select("sig", "set_id", "size"), linked)
+    more = _block_pairs(open_.join(sets.select("set_id", "sketch"), "set_id")).join(tried, ["a", "b"], "left_anti")
+    near = _similar(_plausible(more, sets), side)
+    return linked if near.isEmpty() else _merged(linked, near)
 
 
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -423,7 +483,8 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     their ids; a row without an id counts, but never names a component with others. ``docs``
     must give the same rows in the same order each time it is read (a table, a checkpoint).
     """
-    docs = without(docs, "n_shingles", "component_id").withColumn("_row", F.monotonically_increasing_id())
+    keep = without(docs, "n_shingles", "component_id", text).columns
+    docs = packed(docs.select(*[F.col(f"`{c}`") for c in keep], text), text).withColumn("_row", F.monotonically_increasing_id())
     table = truncate_lineage(describe(docs, text))
     sets = table.filter("set_id is not null").groupBy("set_id")
     facts = sets.agg(F.min("_row").alias("one"), F.min_by("sketch", "_row").alias("sketch"))
@@ -447,26 +508,25 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = members.join(pivot, "sig").filter("set_id <> p.set_id and 7 * abs(size - p.size) <= size + p.size")
     star = star.select(F.col("p.set_id").alias("a"), F.col("set_id").alias("b"), F.col("p.size").alias("sa"), F.col("size").alias("sb"))
     tried = truncate_lineage(first.unionByName(star).distinct())
-    edges = [_links(tried, facts, docs, "_row", text)]
+    linked = _links(tried, facts, docs, "_row", text)
     if not members.isEmpty():
-        linked = connected_components(edges[0], "a", "b").withColumnRenamed("id", "set_id")
-        placed = members.join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        split = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("sig")
-        open_ = truncate_lineage(placed.join(split, "sig").join(facts.select("set_id", "sketch"), "set_id"))
-        if not open_.isEmpty():
-            more = _block_pairs(open_).join(tried, ["a", "b"], "left_anti")
-            edges.append(_links(truncate_lineage(more), facts, docs, "_row", text))
-    linked = connected_components(reduce(DataFrame.unionByName, edges), "a", "b").withColumnRenamed("id", "set_id")
+        linked = _contracted(members, linked, tried.select("a", "b"), facts, docs, "_row", text)
+    named = F.col("_user").getField(doc_id)
     owned = table.drop("sketch").join(linked, "set_id", "left").withColumn("_group", F.coalesce("component", "set_id"))
     # a hot component is reduced before its smallest id goes back to its rows
-    least = owned.filter("_group is not null").groupBy("_group").agg(F.min(doc_id).alias("_least"))
+    least = truncate_lineage(owned.filter("_group is not null").groupBy("_group").agg(F.min(named).alias("_least")))
     out = owned.join(least, "_group", "left")
-    keep = [c for c in docs.columns if c not in (text, "_row")]
-    return out.select(*keep, "n_shingles", F.coalesce("_least", F.col(doc_id)).alias("component_id"))
+    return out.select("_user.*", "n_shingles", F.coalesce("_least", named).alias("component_id"))
+
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Filter by row: of every component one row stays, in its own columns, and all texts without words.
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """Filter: of every component the row with the smallest id (and all texts without words), in its own columns."""
-    found = near_components(docs.select("doc_id", "text"))
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    It is the row with the smallest id (rows without an id come last, of equal ids the first
+    row of the table). Unrelated rows that share an id do not touch one another.
+    """
+    rows = docs.withColumn("_line", F.monotonically_increasing_id())
+    found = near_components(rows.select("_line", F.col(doc_id).alias("id"), text), "_line", text)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_line")).alias("f")
+    stays = truncate_lineage(found.groupBy("component_id").agg(first).select(F.col("f._line").alias("_line")))
+    return rows.join(stays, "_line", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

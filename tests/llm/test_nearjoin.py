@@ -172,3 +172,53 @@ def test_very_many_short_texts_in_one_slice(spark, docs):
     rows = [(i, f"w{i % 70000}") for i in range(70010)]
     got = nearjoin.near_components(docs(rows, partitions=1).select("doc_id", "text")).filter("component_id <> doc_id").collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(70000 + k, k) for k in range(10)]
+
+
+def thue_morse(n):
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x
+
+
+def test_words_that_collide_under_polynomials_stay_apart(spark, docs):
+    a = thue_morse(10)
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(0, " ".join([a] * 8)), (1, " ".join([b] * 8)), (2, " ".join([a] * 8))]
+    got = nearjoin.near_components(docs(rows).select("doc_id", "text")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(0, 0), (1, 1), (2, 0)]
+
+
+def test_clashing_columns_and_repeated_ids(spark, docs):
+    table = docs([(3, "a b"), (5, "a b"), (5, "other text"), (None, "a b"), (7, None)])
+    clash = table.selectExpr("doc_id", "text", *[f"doc_id as `{c}`" for c in ("set_id", "component", "sketch", "one", "_row", "_group", "_least", "_user", "sig", "_line", "id")])
+    found = nearjoin.near_components(clash)
+    assert found.columns == [*[c for c in clash.columns if c != "text"], "n_shingles", "component_id"]
+    assert sorted((r["_row"] or -1, r["component_id"] or -1) for r in found.collect()) == [(-1, 3), (3, 3), (5, 3), (5, 5), (7, 7)]
+    kept = nearjoin.one_of_each(clash)
+    assert kept.columns == clash.columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == [(3, "a b"), (5, "other text"), (7, "")]
+    again = nearjoin.one_of_each(docs([(5, "x"), (5, "x"), (None, "x")])).collect()
+    assert [r["doc_id"] for r in again] == [5]
+
+
+def test_a_family_with_outliers_is_contracted(spark, docs, monkeypatch):
+    monkeypatch.setattr(nearjoin, "BLOCK", 8)
+    r = random.Random(6)
+    rows = []
+    for f in range(3):
+        base = [f"f{f}w{k}" for k in range(60)]
+        for _ in range(50):
+            w = list(base)
+            for _ in range(r.choice([0, 1, 2, 3])):
+                w[r.randrange(60)] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    got = nearjoin.near_components(docs(rows).select("doc_id", "text"), frequent=4).collect()
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute(rows)
+
+
+def test_a_very_long_text(spark, docs):
+    r = random.Random(2)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(400_000))
+    got = nearjoin.near_components(docs([(2, long), (1, long + " end"), (3, "w1")]).select("doc_id", "text")).collect()
+    assert sorted((x["doc_id"], x["component_id"]) for x in got) == [(1, 1), (2, 1), (3, 3)]
