@@ -434,7 +434,7 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     placed = members.join(size, "sig").withColumns({"down": blocks("n"), "across": blocks("m")})
     at = lambda k: F.pmod(F.xxhash64("set_id"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    columns = ["sig", "p", "q", "minor", "asks", "set_id", "size", "component", "sketch"]
+    columns = ["sig", "sigs", "p", "q", "minor", "asks", "set_id", "size", "component", "sketch"]
     left = placed.filter("minor").withColumns({"p": at("across"), "asks": F.lit(True)}).withColumn("q", every("down"))
     right = placed.withColumns({"q": at("down"), "asks": F.lit(False)}).withColumn("p", every("across"))
 
@@ -446,12 +446,15 @@ def _block_pairs(members: DataFrame) -> DataFrame:
         sx, sy = (s["size"].to_numpy(np.int64) for s in (left, right))
         ix, iy, cx, cy = (s[c].to_numpy(np.int64) for c in ("set_id", "component") for s in (left, right))
         once = ~right["minor"].to_numpy(bool)  # two minor members meet twice
+        sig = int(part["sig"].iloc[0])
+        lower = [{int(z) for z in x if z < sig} for x in left["sigs"]], [[int(z) for z in x if z < sig] for x in right["sigs"]]
         out = [_pair_rows(*[np.zeros(0, np.int64)] * 4)]
         for i in range(len(left)):
             ok = (cy != cx[i]) & (once | (iy > ix[i])) & (7 * np.abs(sy - sx[i]) <= sy + sx[i])
             for u, v in ((x0, y0), (x, y)):  # a coarse count first
                 ok[ok] = 7 * np.abs(v[ok] - u[i]).sum(1) <= sy[ok] + sx[i]
-            k = np.flatnonzero(ok)
+            # a pair that shares several signatures is listed in the smallest one
+            k = np.array([j for j in np.flatnonzero(ok).tolist() if lower[0][i].isdisjoint(lower[1][j])], np.int64)
             out.append(_pair_rows(np.full(len(k), ix[i]), iy[k], np.full(len(k), sx[i]), sy[k]))
         return pd.concat(out)
 
@@ -470,7 +473,8 @@ def _contracted(members: DataFrame, linked: DataFrame, tried: DataFrame, facts:
     if not near.isEmpty():
         linked = _merged(linked, near)
         open_ = _open(open_.select("sig", "set_id", "size"), linked)
-    more = _block_pairs(open_.join(sets.select("set_id", "sketch"), "set_id")).join(tried, ["a", "b"], "left_anti")
+    own = open_.groupBy("set_id").agg(F.collect_list("sig").alias("sigs"))  # the signatures of one set
+    more = _block_pairs(open_.join(sets.select("set_id", "sketch").join(own, "set_id"), "set_id")).join(tried, ["a", "b"], "left_anti")
     near = _similar(_plausible(more, sets), side)
     return linked if near.isEmpty() else _merged(linked, near)
 
