@@ -1,8 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pairlab.operators import similarity as S
 from pairlab.operators.models import candidate_grid
+from pairlab.session import truncate_lineage
 
 
 def points(n=300, d=6, clusters=7, seed=3):
@@ -107,3 +110,17 @@ def test_no_cross_product_in_the_scoring_plan(spark, pivots):
     q = spark.range(0, 30).selectExpr("id as query_id", "id + 1 as target_id")
     plan = S.rank_targets(q, x, block=10, pivots=pivots)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_rows_are_copied_a_fixed_number_of_times(spark):
+    """Three times the rows, three times the copies: parts of a table do not multiply with its blocks."""
+    copies = {}
+    for n in (400, 1200):
+        x = truncate_lineage(frame(spark, points(n)))
+        q = spark.range(0, n - 1).selectExpr("id as query_id", "id + 1 as target_id")
+        cells, placed = S.build_cells(x, "cosine", 1, 20)
+        routed = q.join(x.withColumnRenamed("id", "query_id"), "query_id").withColumn("cells", F.lit(S.ONLY))
+        grid = S._grid(routed, placed, n - 1, n, 20, ["query_id"], ["query_id", "v", "cells"])
+        size = lambda q, c: pa.table({"n": pa.array([q.num_rows + c.num_rows])})
+        copies[n] = grid.applyInArrow(size, "n long").agg(F.sum("n")).first()[0]
+    assert copies[1200] <= 3.05 * copies[400]
