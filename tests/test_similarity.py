@@ -124,3 +124,16 @@ def test_rows_are_copied_a_fixed_number_of_times(spark):
         size = lambda q, c: pa.table({"n": pa.array([q.num_rows + c.num_rows])})
         copies[n] = grid.applyInArrow(size, "n long").agg(F.sum("n")).first()[0]
     assert copies[1200] <= 3.05 * copies[400]
+
+
+def test_a_search_writes_each_row_once(spark, monkeypatch):
+    """No copies for parts: rows are packed into blocks, and the blocks hold every row once."""
+    monkeypatch.setattr(S, "FEWEST", 20)
+    x = truncate_lineage(frame(spark, points(90)))
+    seen = []
+    packed = S._packed
+    monkeypatch.setattr(S, "_packed", lambda *a: seen.append(packed(*a)) or seen[-1])
+    near = S.top_neighbors(x.select(F.col("id").alias("query_id")), x, 3, block=20, pivots=1)
+    assert "explode" not in near._jdf.queryExecution().executedPlan().toString()
+    rows = [S._unpacked(p, [c], f"{c} long").count() for p, c in zip(seen, ("c_id", "query_id"), strict=True)]
+    assert rows == [90, 90] and all(p.count() > 1 for p in seen)
