@@ -16,12 +16,15 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairlab.functions import vectors as V
 from pairlab.functions.hashing import DRAW_SPAN, draw_index, hash_draw, hash_key
 from pairlab.operators.order import number_by_hash, running_by_value, take_first
-from pairlab.operators.similarity import cosine_pairs, top_neighbors
+from pairlab.operators.similarity import block_product, cosine_pairs, packed_blocks, top_neighbors
 from pairlab.session import truncate_lineage
 
 NEGATIVES_PER_POSITIVE = 10  # fixed value: ratio of the training jobs
@@ -505,11 +508,39 @@ def sampled_candidates(queries: DataFrame, pool: DataFrame, n: int = 500, seed:
     return q.join(numbered, "idx").select("key", "query_id", "target_id", "draw", "id")
 
 
+PAIRS = 1 << 16  # listed pairs scored at once
+
+
 def rank_sampled(queries: DataFrame, vectors: DataFrame, n: int = 500, seed: int = 42, metric: str = "cosine") -> DataFrame:
-    """(key, rank): 1 + sampled candidates that score strictly better than the target."""
-    cand = cosine_pairs(sampled_candidates(queries, vectors, n, seed), "query_id", "id", vectors, metric, "s")
+    """(key, rank): 1 + sampled candidates that score strictly better than the target.
+
+    Candidates travel as lists of ids (``n`` for a query); vectors lie once in packed blocks and
+    meet as a product, where a task scores the listed pairs only.
+    """
+    v = vectors.select("id", "v")
+    ids = sampled_candidates(queries, vectors, n, seed).groupBy("key", "query_id").agg(F.collect_list("id").alias("ids"))
     target = cosine_pairs(queries, "query_id", "target_id", vectors, metric, "t").select("key", "t")
-    return cand.join(target, "key").groupBy("key").agg((F.count_if(F.col("s") > F.col("t")) + 1).alias("rank"))
+    rows = ids.join(target, "key").join(v.withColumnRenamed("id", "query_id"), "query_id")
+    packed = packed_blocks(rows.select("key", "t", "ids", "v"), queries.count(), "key")
+    blocks = packed_blocks(v.select(F.col("id").alias("c_id"), F.col("v").alias("c_v")), v.count(), "c_id")
+
+    def kernel(q: pa.Table, c: pa.Table) -> pa.Table:
+        lists, cid = q.column("ids").combine_chunks(), c.column("c_id").to_numpy()
+        row = np.repeat(np.arange(q.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        wanted, order = lists.flatten().to_numpy(zero_copy_only=False), np.argsort(cid, kind="stable")
+        at = np.minimum(np.searchsorted(cid, wanted, sorter=order), len(cid) - 1)
+        here = np.flatnonzero(cid[order[at]] == wanted)
+        i, j = row[here], order[at[here]]
+        qm, cm, t = V.arrow_matrix(q.column("v")), V.arrow_matrix(c.column("c_v")), q.column("t").to_numpy()
+        better = np.zeros(q.num_rows, np.int64)
+        for k in range(0, len(i), PAIRS):
+            x, y = i[k : k + PAIRS], j[k : k + PAIRS]
+            better += np.bincount(x[V.pair_score(qm[x], cm[y], metric) > t[x]], minlength=q.num_rows)
+        return pa.table({"key": q.column("key"), "better": pa.array(better)})
+
+    kind = queries.schema["key"].dataType.simpleString()
+    counted = block_product(packed, blocks, kernel, f"key {kind}, better long")
+    return counted.groupBy("key").agg((F.sum("better") + 1).alias("rank"))
 
 
 def sample_pairs(pairs: DataFrame, keys: Sequence[str], n: int = 1000, seed: int = 42) -> DataFrame:

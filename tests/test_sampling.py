@@ -1,3 +1,4 @@
+import numpy as np
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -177,3 +178,23 @@ def test_pair_dataset_contract(spark):
         mined = sum(r.split == s and r.label == 0 for r in rows) - n_doc
         assert n_pos > 0 and mined == max(0, round(5.0 * n_pos) - n_doc)
     assert all(r.weight == 1.0 for r in rows if r.label == 0)
+
+
+def test_sampled_candidates_are_ranked_without_a_vector_each(spark, monkeypatch):
+    from pairlab.operators import sampling
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 4))
+    v = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    q = spark.range(0, 20).selectExpr("cast(id as string) as key", "id as query_id", "id + 7 as target_id")
+    joined = []
+    scored = sampling.cosine_pairs
+    monkeypatch.setattr(sampling, "cosine_pairs", lambda *a, **k: joined.append(a[2]) or scored(*a, **k))
+    got = {r.key: r["rank"] for r in sampling.rank_sampled(q, v, 40).collect()}
+    assert joined == ["target_id"]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = np.round(u @ u.T, 12)
+    want = {str(i): 1 for i in range(20)}
+    for r in sampling.sampled_candidates(q, v, 40).collect():
+        want[r.key] += int(s[r.query_id, r.id] > s[r.query_id, r.target_id])
+    assert got == want

@@ -131,8 +131,8 @@ def test_a_search_writes_each_row_once(spark, monkeypatch):
     monkeypatch.setattr(S, "FEWEST", 20)
     x = truncate_lineage(frame(spark, points(90)))
     seen = []
-    packed = S._packed
-    monkeypatch.setattr(S, "_packed", lambda *a: seen.append(packed(*a)) or seen[-1])
+    packed = S.packed_blocks
+    monkeypatch.setattr(S, "packed_blocks", lambda *a: seen.append(packed(*a)) or seen[-1])
     near = S.top_neighbors(x.select(F.col("id").alias("query_id")), x, 3, block=20, pivots=1)
     assert "explode" not in near._jdf.queryExecution().executedPlan().toString()
     rows = [S._unpacked(p, [c], f"{c} long").count() for p, c in zip(seen, ("c_id", "query_id"), strict=True)]
