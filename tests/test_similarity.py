@@ -137,3 +137,26 @@ def test_a_search_writes_each_row_once(spark, monkeypatch):
     assert "explode" not in near._jdf.queryExecution().executedPlan().toString()
     rows = [S._unpacked(p, [c], f"{c} long").count() for p, c in zip(seen, ("c_id", "query_id"), strict=True)]
     assert rows == [90, 90] and all(p.count() > 1 for p in seen)
+
+
+def test_what_leaves_a_block_product_grows_with_the_queries_alone(spark, monkeypatch):
+    """However many parts the candidates fill, a query leaves the tasks equally often."""
+    monkeypatch.setattr(S, "FEWEST", 10)
+    monkeypatch.setattr(S, "PACKED", 10)
+    monkeypatch.setattr(S, "HELD", 1)
+    q = S.packed_blocks(spark.range(400).selectExpr("id as key"), 400, "key")
+    size = lambda a, b: pa.table({"key": a.column("key"), "n": pa.array([b.num_rows] * a.num_rows, pa.int64())})
+    left = {}
+    for n in (400, 1600):
+        c = S.packed_blocks(spark.range(n).selectExpr("id as c_id"), n, "c_id")
+        rows = S.block_product(q, c, size, "key long, n long", S.add_up("n"))
+        left[n] = rows.count()
+        assert {r[0] for r in rows.groupBy("key").agg(F.sum("n")).select("sum(n)").collect()} == {n}
+    assert left[1600] == left[400]
+
+
+def test_lists_of_pieces_are_merged_like_one_list():
+    a = pa.table({"query_id": [1, 1, 2], "id": [5, 9, 3], "score": [0.5, 0.2, 0.1]})
+    b = pa.table({"query_id": [1, 1, 3], "id": [4, 7, 8], "score": [0.5, 0.3, 0.0]})
+    got = S.best_of(2)(a, b).to_pydict()
+    assert got == {"query_id": [1, 1, 2, 3], "id": [4, 5, 3, 8], "score": [0.5, 0.5, 0.1, 0.0]}
