@@ -47,6 +47,9 @@ SLICE_BYTES = 1 << 20
 RANGES = 8  # ranges of parts that a band's signatures are dealt to
 GROUP_SIGNATURES = 1_000_000  # about the most signatures of one group: ranges are split by signature bits to get there
 BROADCAST_ROWS = 500_000  # pairs of row number and set name, 16 bytes each
+ROWS_PER_TASK = 20_000  # small tables of names are read in few partitions: every shuffle writes files for each
+LOWER_SIGS = 16  # of a member's smaller signatures so many go along, to list a pair once
+BLOCK_CLASSES = 256  # most classes of a sketch that goes to the blocks
 LOWER = np.frombuffer(lower_table(), np.uint8)
 IS_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 SALT = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
@@ -320,6 +323,12 @@ def _bucket_pairs(frequent: int, splits: list[int]):
     return run
 
 
+def _settled(names: DataFrame) -> DataFrame:
+    """A checkpoint of narrow rows, read again in no more partitions than its rows need."""
+    done = truncate_lineage(names)
+    return done.coalesce(1 + done.count() // ROWS_PER_TASK)
+
+
 def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """The pairs (a, b, sa, sb) whose coarse counts do not rule out a similarity of 3/4."""
     sketch = facts.select(F.col("set_id").alias("k"), "sketch")
@@ -336,7 +345,7 @@ def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
                 ok.append(7 * int(np.abs(fold(x, width) - fold(y, width)).sum()) <= limit)
             yield b.select(["a", "b", "sa", "sb"]).filter(pa.array(ok, pa.bool_()))
 
-    return truncate_lineage(coarse.mapInArrow(differ, "a bigint, b bigint, sa int, sb int"))
+    return _settled(coarse.mapInArrow(differ, "a bigint, b bigint, sa int, sb int"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -345,7 +354,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _elements(wanted: DataFrame, facts: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
     """(k, elements): the whole sets named in ``wanted`` (set_id), each from one of its documents."""
-    rows = truncate_lineage(facts.join(wanted, "set_id").select("set_id", F.col("one").alias(row)))
+    rows = _settled(facts.join(wanted, "set_id").select("set_id", F.col("one").alias(row)))
     if rows.count() <= BROADCAST_ROWS:  # else the texts are shuffled to them
         rows = F.broadcast(rows)
 
@@ -362,7 +371,7 @@ def _elements(wanted: DataFrame, facts: DataFrame, docs: DataFrame, row: str, te
 
 def _similar(pairs: DataFrame, side: DataFrame) -> DataFrame:
     """The pairs (a, b) with a similarity of 3/4 or more, on whole sets."""
-    needed = truncate_lineage(_ends(pairs).select(F.col("set_id").alias("k")))
+    needed = _settled(_ends(pairs).select(F.col("set_id").alias("k")))
     if needed.count() <= BROADCAST_ROWS:  # else all sets are shuffled to their pairs
         side = side.join(F.broadcast(needed), "k", "left_semi")
     both = pairs.join(side, F.col("a") == F.col("k")).drop("k").withColumnRenamed("elements", "x")
@@ -379,17 +388,17 @@ def _similar(pairs: DataFrame, side: DataFrame) -> DataFrame:
                 ok.append(100 * same >= 75 * (len(x) + len(y) - same))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return truncate_lineage(both.mapInArrow(similar, "a bigint, b bigint"))
+    return _settled(both.mapInArrow(similar, "a bigint, b bigint"))
 
 
 def _merged(linked: DataFrame, links: DataFrame) -> DataFrame:
     """``linked`` (set_id, component) after further links (a, b): only the components between them are joined anew."""
-    ends = truncate_lineage(_ends(links).join(linked, "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component")))
+    ends = _settled(_ends(links).join(linked, "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component")))
     side = lambda k, c: ends.select(F.col("set_id").alias(k), F.col("component").alias(c))
     joined = connected_components(links.join(side("a", "x"), "a").join(side("b", "y"), "b"), "x", "y")
     joined = joined.select(F.col("id").alias("component"), F.col("component").alias("now"))
     every = linked.unionByName(ends.join(linked, "set_id", "left_anti"))
-    return truncate_lineage(every.join(joined, "component", "left").select("set_id", F.coalesce("now", "component").alias("component")))
+    return _settled(every.join(joined, "component", "left").select("set_id", F.coalesce("now", "component").alias("component")))
 
 
 def _links(pairs: DataFrame, facts: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
@@ -401,7 +410,7 @@ def _links(pairs: DataFrame, facts: DataFrame, docs: DataFrame, row: str, text:
     maybe = _plausible(pairs, facts)
     side = _elements(_ends(maybe), facts, docs, row, text)
     near = _similar(maybe.groupBy("b").agg(F.min("a").alias("a")), side)
-    linked = truncate_lineage(connected_components(near, "a", "b").withColumnRenamed("id", "set_id"))
+    linked = _settled(connected_components(near, "a", "b").withColumnRenamed("id", "set_id"))
     for end in ("a", "b"):
         maybe = maybe.join(linked.select(F.col("set_id").alias(end), F.col("component").alias(f"c_{end}")), end, "left")
     more = _similar(maybe.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"), side)
@@ -410,11 +419,11 @@ def _links(pairs: DataFrame, facts: DataFrame, docs: DataFrame, row: str, text:
 
 def _open(members: DataFrame, linked: DataFrame) -> DataFrame:
     """Members of signatures with several components; ``minor`` are those outside the largest one."""
-    members = truncate_lineage(members.join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")))
+    members = _settled(members.join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")))
     parts = members.groupBy("sig", "component").agg(F.count("*").alias("n"))
     largest = parts.groupBy("sig").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1")
     marked = members.join(largest.select("sig", F.col("top.component").alias("major")), "sig")
-    return truncate_lineage(marked.select("sig", "set_id", "size", "component", (F.col("component") != F.col("major")).alias("minor")))
+    return _settled(marked.select("sig", "set_id", "size", "component", (F.col("component") != F.col("major")).alias("minor")))
 
 
 def _pivot_pairs(open_: DataFrame) -> DataFrame:
@@ -427,38 +436,54 @@ def _pivot_pairs(open_: DataFrame) -> DataFrame:
     return pairs.select(end("set_id", "p.set_id").alias("a"), end("p.set_id", "set_id").alias("b"), end("size", "p.size").alias("sa"), end("p.size", "size").alias("sb")).distinct()
 
 
+def _narrowed(sketches: DataFrame) -> DataFrame:
+    """The sketches with ``BLOCK_CLASSES`` classes at most: they still prove differences, and fewer bytes go to the blocks."""
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            short = [np.minimum(fold(x, min(len(x), BLOCK_CLASSES)), 65535).astype("<u2").tobytes() for x in b.column("sketch").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("set_id"), pa.array(short, pa.binary())], ["set_id", "sketch"])
+
+    return sketches.select("set_id", "sketch").mapInArrow(narrow, "set_id bigint, sketch binary")
+
+
 def _block_pairs(members: DataFrame) -> DataFrame:
-    """Minor members with all members of other components of their signature, in blocks of about ``BLOCK`` by ``BLOCK``."""
+    """Minor members with all members of other components of their signature, in blocks of about ``BLOCK`` by ``BLOCK``.
+
+    A pair that shares several signatures is listed in the smallest one, as far as the ``LOWER_SIGS`` smallest
+    signatures of either member tell; what is listed again falls together at the end.
+    """
     size = truncate_lineage(members.groupBy("sig").agg(F.count("*").alias("n"), F.count_if("minor").alias("m")))
     blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
-    placed = members.join(size, "sig").withColumns({"down": blocks("n"), "across": blocks("m")})
+    placed = members.join(size, "sig").withColumns({"down": blocks("n"), "across": blocks("m"), "sigs": F.filter("sigs", lambda z: z < F.col("sig"))})
     at = lambda k: F.pmod(F.xxhash64("set_id"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     columns = ["sig", "sigs", "p", "q", "minor", "asks", "set_id", "size", "component", "sketch"]
-    left = placed.filter("minor").withColumns({"p": at("across"), "asks": F.lit(True)}).withColumn("q", every("down"))
-    right = placed.withColumns({"q": at("down"), "asks": F.lit(False)}).withColumn("p", every("across"))
+    # a minor member meets its own block's candidates where it stands itself: there it is one row for both sides
+    left = placed.filter("minor").withColumns({"p": at("across"), "asks": F.lit(True), "own": at("down")}).withColumn("q", every("down")).filter("q <> own")
+    right = placed.withColumns({"q": at("down"), "own": at("across")}).withColumn("p", every("across")).withColumn("asks", F.expr("minor and p = own"))
+    right = right.withColumn("stands", F.lit(True))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        left, right = part[part["asks"]], part[~part["asks"]]
-        width = int(part["sketch"].map(len).min())
-        x, y = (np.array([fold(k, width) for k in s["sketch"]]).reshape(-1, width) for s in (left, right))
+        left, right = part[part["asks"]], part[part["stands"]]
+        width = int(part["sketch"].map(len).min()) // 2
+        wide = lambda k: np.frombuffer(k, "<u2").reshape(-1, width).sum(0, dtype=np.int32)
+        x, y = (np.array([wide(k) for k in s["sketch"]], np.int32).reshape(-1, width) for s in (left, right))
         x0, y0 = (k.reshape(-1, width // SKETCH, SKETCH).sum(1) for k in (x, y))
         sx, sy = (s["size"].to_numpy(np.int64) for s in (left, right))
         ix, iy, cx, cy = (s[c].to_numpy(np.int64) for c in ("set_id", "component") for s in (left, right))
         once = ~right["minor"].to_numpy(bool)  # two minor members meet twice
-        sig = int(part["sig"].iloc[0])
-        lower = [{int(z) for z in x if z < sig} for x in left["sigs"]], [[int(z) for z in x if z < sig] for x in right["sigs"]]
+        lower = [{int(z) for z in k} for k in left["sigs"]], [[int(z) for z in k] for k in right["sigs"]]
         out = [_pair_rows(*[np.zeros(0, np.int64)] * 4)]
         for i in range(len(left)):
             ok = (cy != cx[i]) & (once | (iy > ix[i])) & (7 * np.abs(sy - sx[i]) <= sy + sx[i])
             for u, v in ((x0, y0), (x, y)):  # a coarse count first
                 ok[ok] = 7 * np.abs(v[ok] - u[i]).sum(1) <= sy[ok] + sx[i]
-            # a pair that shares several signatures is listed in the smallest one
             k = np.array([j for j in np.flatnonzero(ok).tolist() if lower[0][i].isdisjoint(lower[1][j])], np.int64)
             out.append(_pair_rows(np.full(len(k), ix[i]), iy[k], np.full(len(k), sx[i]), sy[k]))
         return pd.concat(out)
 
-    both = left.select(*columns).unionByName(right.select(*columns))
+    both = left.withColumn("stands", F.lit(False)).select(*columns, "stands").unionByName(right.select(*columns, "stands"))
     return both.groupBy("sig", "p", "q").applyInPandas(run, "a bigint, b bigint, sa int, sb int").distinct()
 
 
@@ -473,8 +498,8 @@ def _contracted(members: DataFrame, linked: DataFrame, tried: DataFrame, facts:
     if not near.isEmpty():
         linked = _merged(linked, near)
         open_ = _open(open_.select("sig", "set_id", "size"), linked)
-    own = open_.groupBy("set_id").agg(F.collect_list("sig").alias("sigs"))  # the signatures of one set
-    more = _block_pairs(open_.join(sets.select("set_id", "sketch").join(own, "set_id"), "set_id")).join(tried, ["a", "b"], "left_anti")
+    own = open_.groupBy("set_id").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, LOWER_SIGS).alias("sigs"))  # the smallest signatures of one set
+    more = _block_pairs(open_.join(_narrowed(sets).join(own, "set_id"), "set_id")).join(tried, ["a", "b"], "left_anti")
     near = _similar(_plausible(more, sets), side)
     return linked if near.isEmpty() else _merged(linked, near)
 
@@ -493,7 +518,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = table.filter("set_id is not null").groupBy("set_id")
     facts = sets.agg(F.min("_row").alias("one"), F.min_by("sketch", "_row").alias("sketch"))
     splits = band_splits(table)
-    found = truncate_lineage(_signed(docs, text, splits, frequent).groupBy("bucket", "lot").applyInPandas(_bucket_pairs(frequent, splits), PAIRS))
+    found = _settled(_signed(docs, text, splits, frequent).groupBy("bucket", "lot").applyInPandas(_bucket_pairs(frequent, splits), PAIRS))
     first = found.filter("a is not null").select("a", "b", "sa", "sb").distinct()
     hot = found.filter("sig is not null").select("sig", "set_id", "size", "spare", "band").distinct()
     # a set leaves out its most frequent signatures first; which ones follows from one order for all sets,
@@ -501,17 +526,17 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     often = hot.groupBy("sig").agg(F.count("*").alias("n"))
     order = W.partitionBy("set_id", "band").orderBy(F.desc("n"), "sig")  # the signatures of one set
     ranked = hot.join(often, "sig").withColumn("k", F.row_number().over(order))
-    kept = truncate_lineage(ranked.filter("k > spare").select("sig", "set_id", "size"))
+    kept = _settled(ranked.filter("k > spare").select("sig", "set_id", "size"))
     # close copies share hundreds of signatures: one signature stands for all with the same members
     alike = kept.groupBy("sig").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(7))).alias("y")
     )
     alone = alike.filter("n > 1").groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
-    members = truncate_lineage(kept.join(alone, "sig"))
+    members = _settled(kept.join(alone, "sig"))
     pivot = members.groupBy("sig").agg(F.min(F.struct("set_id", "size")).alias("p"))
     star = members.join(pivot, "sig").filter("set_id <> p.set_id and 7 * abs(size - p.size) <= size + p.size")
     star = star.select(F.col("p.set_id").alias("a"), F.col("set_id").alias("b"), F.col("p.size").alias("sa"), F.col("size").alias("sb"))
-    tried = truncate_lineage(first.unionByName(star).distinct())
+    tried = _settled(first.unionByName(star).distinct())
     linked = _links(tried, facts, docs, "_row", text)
     if not members.isEmpty():
         linked = _contracted(members, linked, tried.select("a", "b"), facts, docs, "_row", text)

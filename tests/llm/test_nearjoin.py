@@ -222,3 +222,19 @@ def test_a_very_long_text(spark, docs):
     long = " ".join(f"w{r.randrange(10**6)}" for _ in range(400_000))
     got = nearjoin.near_components(docs([(2, long), (1, long + " end"), (3, "w1")]).select("doc_id", "text")).collect()
     assert sorted((x["doc_id"], x["component_id"]) for x in got) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_a_member_takes_few_signatures_to_the_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(nearjoin, "LOWER_SIGS", 2, raising=False)
+    seen, blocks = [], nearjoin._block_pairs
+    monkeypatch.setattr(nearjoin, "_block_pairs", lambda m: seen.append(m.agg(F.max(F.size("sigs"))).first()[0]) or blocks(m))
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for n in range(60):  # half of the words are common to all: many frequent signatures, no links between families
+        w = base[:100] + [f"f{n // 2}x{k}" for k in range(100)]
+        w[150] = f"y{r.randrange(10**6)}"
+        rows.append((n, " ".join(w)))
+    got = nearjoin.near_components(docs(rows).select("doc_id", "text"), frequent=3).collect()
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute(rows)
+    assert seen and max(seen) <= 2
