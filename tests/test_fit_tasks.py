@@ -1,7 +1,7 @@
 from pairlab.operators import models as C
 from pairlab.operators.rows import canonical_pair
 from pairlab.plans.training import prepare
-from pairlab.session import FIT_ROWS, fit_task_count, table_by, task_count
+from pairlab.session import FIT_MOST, FIT_ROWS, fit_task_count, table_by, task_count
 
 
 def test_small_tables_have_few_tasks_and_large_ones_all(spark):
@@ -10,6 +10,18 @@ def test_small_tables_have_few_tasks_and_large_ones_all(spark):
     assert fit_task_count(spark, 10**9) == task_count(spark) > 2
 
 
+def test_a_fit_has_no_more_tasks_than_slots_until_they_are_large(spark):
+    slots, key = spark.sparkContext.defaultParallelism, "spark.sql.shuffle.partitions"
+    kept = spark.conf.get(key)
+    spark.conf.set(key, 25 * slots)
+    try:
+        assert fit_task_count(spark, 10 * slots * FIT_ROWS) == slots
+        assert fit_task_count(spark, 10 * slots * FIT_ROWS, 4) == -(-slots // 4)
+        assert fit_task_count(spark, 3 * slots * FIT_MOST, 4) == 3 * slots
+    finally:
+        spark.conf.set(key, kept)
+
+
 def test_a_fit_passes_over_few_partitions(spark):
     v = spark.range(60).selectExpr("id", "array(cast(id as double), 1.0D) as v")
     pairs = spark.range(0, 60, 2).selectExpr("id as pair_id", "id as id_1", "id + 1 as id_2")
